@@ -6,16 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringspark.llm import simhash
+from ringspark.llm import host_rules, langid, line_crf, simhash
 from ringspark.llm.common import table
 
 
+def op4_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = host_rules.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = line_crf.train(docs, table(spark, sf_dir, "labels"))
+    return line_crf.classify(docs.select("doc_id", "text"), model).drop("text")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs.select("doc_id", "text"), langid.train(docs)).drop("text")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("root")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_simhash_near_dedup,)}
+    return {f.__name__: f for f in (op4_host_quality_rules, op5_line_crf_quality, op8_language_id, op9_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
