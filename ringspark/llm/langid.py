@@ -140,29 +140,58 @@ def train(docs: DataFrame, path: str = VOCABULARY, per_language: int = 600, long
 
 
 class Scorer:
-    """Log probabilities of words by language, kept for words seen before (at most `most` of them)."""
-
-    def __init__(self, model: dict, most: int = 200_000):
-        self.model, self.most, self.words = model, most, {}
-        self.size = len(model["langs"])
-
-    def word(self, word: str) -> np.ndarray:
-        found = self.words.get(word)
-        if found is None:
-            sums, logs = forward(MARK + word, self.model["pieces"], self.model["longest"], np.zeros(self.size), np.ones(self.size))
-            found = np.log(np.maximum(sums[-1], 1e-300)) + logs[-1]
-            if len(self.words) >= self.most:
-                self.words.clear()
-            self.words[word] = found
-        return found
-
-    def text(self, text: str | None) -> tuple[str, float]:
-        counts = words_of(text)
-        if not counts or not self.size:
-            return "und", 0.0
-        total = np.array(list(counts.values()), float) @ np.array([self.word(w) for w in counts])
+    """Scores texts in batches. Log probabilities of words seen before are kept, at least `most` of them."""
+
+    def __init__(self, model: dict, most: int = 300_000):
+        self.langs, self.pieces, self.longest, self.most = model["langs"], model["pieces"], model["longest"], most
+        self.number = {piece: i for i, piece in enumerate(self.pieces, 1)}
+        self.p = np.vstack([np.zeros(len(self.langs)), *self.pieces.values()]) if self.pieces else np.zeros((1, len(self.langs)))
+        self.ids: dict[str, int] = {}
+        self.logs = np.zeros((0, len(self.langs)))
+
+    def forward(self, words: list[str]) -> np.ndarray:
+        """Log probabilities of marked words of one length, all languages side by side."""
+        n, size = len(words[0]), len(self.langs)
+        if n > 32:  # the plain product could underflow
+            one = [forward(w, self.pieces, self.longest, np.zeros(size), np.ones(size)) for w in words]
+            return np.array([np.log(np.maximum(sums[-1], 1e-300)) + logs[-1] for sums, logs in one])
+        sums, get = [np.ones((len(words), size))], self.number.get
+        for end in range(1, n + 1):
+            total = np.zeros((len(words), size))
+            for begin in range(max(0, end - self.longest), end):
+                found = np.array([get(w[begin:end], 0) for w in words])
+                if begin == end - 1:
+                    total[found == 0] += sums[begin][found == 0] * RARE
+                hit = np.flatnonzero(found)
+                if len(hit):
+                    total[hit] += sums[begin][hit] * self.p[found[hit]]
+            sums.append(total)
+        return np.log(np.maximum(sums[-1], 1e-300))
+
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.ids]
+        if len(self.ids) + len(new) > self.most:
+            self.ids, self.logs, new = {}, self.logs[:0], list(words)
+        by_length: dict[int, list[str]] = {}
+        for w in new:
+            by_length.setdefault(len(w), []).append(w)
+        parts = [self.logs]
+        for group in by_length.values():
+            self.ids.update(zip(group, range(len(self.ids), len(self.ids) + len(group)), strict=True))
+            parts.append(self.forward([MARK + w for w in group]))
+        self.logs = np.vstack(parts)
+
+    def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        counts = [words_of(t) for t in texts]
+        if self.langs:
+            self.learn(set().union(*counts))
+        return [self.best(c) if c and self.langs else ("und", 0.0) for c in counts]
+
+    def best(self, counts: Counter) -> tuple[str, float]:
+        at = np.fromiter(map(self.ids.__getitem__, counts), np.int64, len(counts))
+        total = np.fromiter(counts.values(), float, len(counts)) @ self.logs[at]
         best = int(np.argmax(total))
-        return self.model["langs"][best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())
+        return self.langs[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
@@ -177,7 +206,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(sent.value)
         for batch in texts:
-            yield pd.DataFrame([scorer.text(t) for t in batch], columns=["lang_pred", "score"])
+            yield pd.DataFrame(scorer.texts(batch.tolist()), columns=["lang_pred", "score"])
 
     out = docs.withColumn("held_out", held_out("doc_id", 4, 2)).withColumn("_found", predict("text"))
     return out.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
