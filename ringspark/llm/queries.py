@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringspark.llm import host_rules, langid, line_crf, simhash
+from ringspark.llm import decontam, host_rules, langid, line_crf, mixing, simhash
 from ringspark.llm.common import table
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = host_rules.judge(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -21,6 +25,10 @@ def op5_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.classify(docs.select("doc_id", "text"), model).drop("text")
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs.select("doc_id", "text"), langid.train(docs)).drop("text")
@@ -31,7 +39,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_host_quality_rules, op5_line_crf_quality, op8_language_id, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op3_mix_sources, op4_host_quality_rules, op5_line_crf_quality, op7_benchmark_decontamination, op8_language_id, op9_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
