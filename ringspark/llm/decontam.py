@@ -47,7 +47,7 @@ def shingles_of(words: Column, size: int = SHINGLE) -> Column:
 def simhash(shingles: Column) -> Column:
     """64 bits, each set if over half of the hashes have it."""
     ones = lambda b: F.aggregate(shingles, F.lit(0), lambda n, h: n + F.getbit(h, b))
-    bit = lambda b: F.when(2 * ones(b) > F.size(shingles), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
+    bit = lambda b: F.when(2 * ones(b) > F.size(shingles), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
     return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), bit), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
 
 
