@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringspark.llm import decontam, host_rules, langid, line_crf, mixing, simhash
+from ringspark.llm import decontam, host_rules, html_text, langid, line_crf, mixing, pii, simhash, warc
 from ringspark.llm.common import table
 
 
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -25,6 +29,11 @@ def op5_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.classify(docs.select("doc_id", "text"), model).drop("text")
 
 
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(files, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,8 +47,16 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("root")
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mix_sources, op4_host_quality_rules, op5_line_crf_quality, op7_benchmark_decontamination, op8_language_id, op9_simhash_near_dedup)}
+    every = (
+        op2_pii_pseudonyms, op3_mix_sources, op4_host_quality_rules, op5_line_crf_quality, op6_warc_round_trip,
+        op7_benchmark_decontamination, op8_language_id, op9_simhash_near_dedup, op10_html_text,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
