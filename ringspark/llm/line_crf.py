@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringspark.llm.common import held_out, small_batches
@@ -157,13 +157,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000) -> dict | None:
     return fit(np.vstack(parts).astype(float), np.array([len(p) for p in parts]), (rows["quality"] > 0).to_numpy().astype(int))
 
 
-def classify(docs: DataFrame, model: dict | None, threshold: float = 0.3) -> DataFrame:
-    """docs with held_out, score and predicted added (columns of these names are replaced). Null and empty texts are one empty line.
-
-    Without a model all scores are 0.5. An empty table gives an empty one.
-    """
-    small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def scorer(spark: SparkSession, model: dict | None):
+    """A function of a text column that gives scores from 0 to 1; 0.5 for all without a model."""
+    small_batches(spark)
+    sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -171,5 +168,14 @@ def classify(docs: DataFrame, model: dict | None, threshold: float = 0.3) -> Dat
             found = np.full(len(batch), 0.5) if sent.value is None or not len(batch) else score_texts(sent.value, batch.tolist())
             yield pd.Series(found, dtype="float64")
 
+    return score
+
+
+def classify(docs: DataFrame, model: dict | None, threshold: float = 0.3) -> DataFrame:
+    """docs with held_out, score and predicted added (columns of these names are replaced). Null and empty texts are one empty line.
+
+    Without a model all scores are 0.5. An empty table gives an empty one.
+    """
+    score = scorer(docs.sparkSession, model)
     out = docs.withColumn("held_out", held_out("doc_id", 5, 0)).withColumn("score", score("text"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -15,7 +15,7 @@ import itertools
 import random
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringspark.llm.common import WORD, save
@@ -157,13 +157,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
-    """docs with the column copies: each row as often as the mix takes it is a row of its own; rows that it leaves go."""
-    mixed = mix(docs, **options).where("copies > 0").select("doc_id", "source", "size", "copies")
-    number = "row_number() over (partition by k order by k)"
-    key = F.struct(F.col("doc_id"), F.col("source"), F.col("size"))
-    plan = mixed.groupBy(F.xxhash64(key).alias("k"), "doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("all"))
-    sized = docs.withColumn("size_", size_of(F.col("text")))
-    sized = sized.withColumn("k", F.xxhash64(F.struct("doc_id", "source", F.col("size_").alias("size")))).withColumn("n_", F.expr(number))
-    plan = plan.select("k", F.posexplode("all").alias("at", "copies")).withColumn("n_", F.col("at") + 1)
-    out = sized.join(plan.select("k", "n_", "copies"), ["k", "n_"])
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns, "copy")
+    """docs with the column copy (replaced if there is one): a row for each time that the mix takes a row, from 1.
+
+    Rows that the mix leaves go. Rows alike in doc_id, source and size share their copies in any order.
+    """
+    mixed = mix(docs, **options).where("copies > 0")
+    key = lambda size: F.xxhash64("doc_id", F.coalesce("source", F.lit("")), F.col("source").isNull(), size)
+    plan = mixed.select(key(F.col("size")).alias("mix_key"), "copies")
+    plan = plan.withColumn("mix_at", F.row_number().over(Window.partitionBy("mix_key").orderBy(F.desc("copies"))))
+    sized = docs.drop("copy").withColumn("mix_key", key(size_of(F.col("text"))))
+    sized = sized.withColumn("mix_at", F.row_number().over(Window.partitionBy("mix_key").orderBy("mix_key")))
+    out = sized.join(plan.select("mix_key", "mix_at", F.col("copies").alias("mix_copies")), ["mix_key", "mix_at"])
+    names = [c for c in docs.columns if c != "copy"]
+    return out.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("copy"))

@@ -194,14 +194,8 @@ def pseudonymised(text: str | None, key: bytes, back: bool = False) -> tuple[str
     return PATTERN.sub(one, text), counts
 
 
-def pseudonymise(docs: DataFrame, key: str = "ringspark", back: bool = False) -> DataFrame:
-    """docs with text replaced, and n_<kind> for each kind (columns of these names are replaced).
-
-    back undoes it under the same key, where the replaced values match the same patterns. Null texts stay null and empty ones
-    empty; numbers that fail their check (cards, IBANs, dates, areas of SSNs, quads) are no personal data and stay. An
-    empty table gives an empty one.
-    """
-    small_batches(docs.sparkSession)
+def replacer(key: str, back: bool = False):
+    """A function of a text column: a struct of the new text and n_<kind>."""
     secret = key.encode()
 
     @F.pandas_udf("text string, " + ", ".join(f"n_{k} int" for k in KINDS))
@@ -212,5 +206,23 @@ def pseudonymise(docs: DataFrame, key: str = "ringspark", back: bool = False) ->
             out.insert(0, "text", pd.Series([t for t, _ in found], dtype=object))
             yield out
 
-    out = docs.withColumn("_new", change("text"))
+    return change
+
+
+def pseudonymise(docs: DataFrame, key: str = "ringspark", back: bool = False) -> DataFrame:
+    """docs with text replaced, and n_<kind> for each kind (columns of these names are replaced).
+
+    back undoes it under the same key, where the replaced values match the same patterns. Null texts stay null and empty ones
+    empty; numbers that fail their check (cards, IBANs, dates, areas of SSNs, quads) are no personal data and stay. An
+    empty table gives an empty one.
+    """
+    small_batches(docs.sparkSession)
+    out = docs.withColumn("_new", replacer(key, back)("text"))
     return out.withColumns({"text": F.col("_new.text")} | {f"n_{k}": F.col(f"_new.n_{k}") for k in KINDS}).drop("_new")
+
+
+def in_texts(docs: DataFrame, key: str = "ringspark") -> DataFrame:
+    """docs with text replaced, and n_chars, where there is one, made that of the new text; all else as it was."""
+    small_batches(docs.sparkSession)
+    out = docs.withColumn("text", replacer(key)("text")["text"])
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

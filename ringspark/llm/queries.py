@@ -5,11 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ringspark.llm import decontam, host_rules, html_text, langid, line_crf, mixing, pii, simhash, warc
+from ringspark.llm import chat, decontam, host_rules, html_text, langid, line_crf, mixing, pii, simhash, warc
 from ringspark.llm.common import table
 
 
+def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.windows(turns.union(more)))
+
+
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -53,7 +61,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op2_pii_pseudonyms, op3_mix_sources, op4_host_quality_rules, op5_line_crf_quality, op6_warc_round_trip,
+        op1_chat_windows, op2_pii_pseudonyms, op3_mix_sources, op4_host_quality_rules, op5_line_crf_quality, op6_warc_round_trip,
         op7_benchmark_decontamination, op8_language_id, op9_simhash_near_dedup, op10_html_text,
     )
     return {f.__name__: f for f in every}
