@@ -144,7 +144,7 @@ def routes(lookups: DataFrame, nodes: DataFrame, mode: str = "fingers", succs: i
         table = table.union(fingers(nodes).where("finger <> id").select("id", "finger")).distinct()
     known = table.groupBy("id").agg(F.collect_set("neighbour").alias("known"))  # at most succs + 160 entries
     first = neighbours(nodes).select(F.col("id").alias("at"), "succ")
-    step = save(known.join(first, known.id == first.at).select("at", "known", "succ"), "routing")
+    step = save(first.join(known, known.id == first.at, "left").select("at", F.coalesce("known", F.array().cast("array<string>")).alias("known"), "succ"), "routing")
     open_ = lookups.select("src", "key", F.col("src").alias("cur"), F.array().cast("array<string>").alias("path"))
     done = None
     for _ in range(most):
