@@ -1,0 +1,408 @@
+"""Operators on documents against brute force, on odd rows, and on empty tables."""
+
+import collections
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from ringspark.llm import decontam, host_rules, langid, line_crf, mixing, pii, simhash
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LONG = " ".join(f"w{i * i % 9973}" for i in range(30000)) + "\n" + "line\n" * 500
+
+
+def odd_rows():
+    return [
+        (1, None, None, None, None), (2, "", "en", "a", 0), (3, LONG, "en", "a", len(LONG)), (3, LONG, "en", "a", len(LONG)),
+        (None, "no id here at all", "en", None, 3), (4, " \n\t ", None, "b", 3), (5, "ünï çödé " * 9, "de", "b", 9), (6, "A b A b", "en", "\U0001f600", 7), (None, "no id here at all", "en", None, 3),
+    ]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, DOCS)
+
+
+def clash(df):
+    """Extra columns whose names operators use themselves."""
+    for name in ("score", "size", "fp", "root", "host", "target", "kept", "copies", "position", "n_email"):
+        df = df.withColumn(name, F.lit("x"))
+    return df
+
+
+def prose(r, n, base=400):
+    return " ".join(f"{r.choice('abcdefgh')}{r.randrange(base)}" for _ in range(n))
+
+
+# --- SimHash
+
+
+def brute_fp(text):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] if words else []
+    ones = [0] * 64
+    for s in shingles:
+        h = xxhash.xxh64_intdigest(s.encode(), seed=42)
+        for b in range(64):
+            ones[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if 2 * ones[b] > len(shingles))
+
+
+def brute_components(prints, k):
+    """For each index the smallest index of its component."""
+    up = list(range(len(prints)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= k and find(i) != find(j):
+                up[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(prints))]
+
+
+@pytest.mark.parametrize("bucket", [2, 32])
+@pytest.mark.parametrize("k", [0, 1, 2])
+def test_links_as_all_pairs(spark, bucket, k):
+    r = random.Random(bucket + k)
+    prints = []
+    for _ in range(12):
+        x = r.getrandbits(64)
+        for _ in range(12):  # walks of near fingerprints
+            prints.append(x)
+            x ^= sum(1 << b for b in r.sample(range(64), r.choice([0, 1, 2, 3])))
+    prints = sorted(set(prints))
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    df = spark.createDataFrame([(p,) for p in signed], "fp long")
+    edges = simhash.links(df, k=k, bucket=bucket)
+    got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    comp = brute_components(prints, k)
+    want, found = collections.defaultdict(set), collections.defaultdict(set)
+    for i, p in enumerate(signed):
+        want[comp[i]].add(p)
+        found[got.get(p, p)].add(p)
+    assert sorted(map(sorted, want.values())) == sorted(map(sorted, found.values()))
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    rows = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5001), (5001, 5000), (7, 7)]
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(61)) and all(got[1000 + i] == 1000 for i in range(200)) and got[5001] == 5000
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_duplicates(spark):
+    r = random.Random(1)
+    base = [prose(r, 300) for _ in range(8)]
+    rows = odd_rows() + [(100 + i, base[i % 8] + ("" if i < 8 else f" tail{i}"), "en", "s", 1) for i in range(24)]
+    docs = clash(frame(spark, rows))
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    comp = brute_components([brute_fp(t) for _, t, *_ in rows], 2)
+    least = {}
+    for (i, *_), c in zip(rows, comp, strict=True):
+        if i is not None:
+            least[c] = min(least.get(c, i), i)
+    want = collections.Counter((rows[k][0], f"{brute_fp(rows[k][1]):016x}", least.get(comp[k])) for k in range(len(rows)))
+    assert collections.Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got) == want
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert sorted(i for i in ids if i is not None) == sorted(set(least.values())) and ids.count(None) == len({c for c in comp if c not in least})
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
+
+
+# --- decontamination
+
+
+def brute_matches(docs, items, similarity=0.8):
+    words = lambda t: [w for w in re.split(r"[^\w]|_", (t or "").lower()) if w]
+    out = {}
+    for i, text in docs:
+        w = words(text)
+        for k, item in items:
+            v = words(item)
+            if not v:
+                continue
+            shingle = lambda x: collections.Counter(tuple(x[j : j + 5]) for j in range(len(x) - 4)) if len(x) >= 5 else collections.Counter([tuple(x)]) if x else collections.Counter()
+            b = shingle(v)
+            for at in range(max(1, len(w) - len(v) + 1) if len(v) >= 5 else 0):
+                a = shingle(w[at : at + len(v)])
+                s = sum((a & b).values()) / max(1, sum((a | b).values()))
+                if s >= similarity and s > out.get((i, k), 0):
+                    out[i, k] = s
+    return out
+
+
+def test_leaks_as_all_windows(spark):
+    r = random.Random(7)
+    items = [(k, prose(r, n, 50)) for k, n in enumerate([15, 20, 30, 31, 40, 56, 30])] + [(90, None), (91, ""), (92, "... --- ...")]
+    items[6] = (6, items[2][1])  # the same text twice
+    rep = " ".join(["again and again it says"] * 6)
+    items.append((93, rep))
+    docs = []
+    for i in range(60):
+        text = prose(r, r.randrange(5, 200), 50).split()
+        k = r.randrange(7)
+        passage = items[k][1].split()
+        if i % 3 == 1:
+            for _ in range(i % 4):
+                passage[r.randrange(len(passage))] = f"x{i}"
+        elif i % 3 == 2:
+            passage = passage[: -(i % 5)] if i % 5 else passage
+        if i % 2:
+            text[len(text) // 2 : len(text) // 2] = passage
+        docs.append((i, " ".join(text)))
+    docs += [(200, rep.upper() + "!!"), (201, "[" + " | ".join(items[4][1].split()) + "]"), (202, None), (203, "")]
+    df = clash(frame(spark, [(i, t, None, None, None) for i, t in docs]))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.matches(df, bench).collect()}
+    want = brute_matches(docs, items)
+    assert {(i, k) for i, k in want if want[i, k] >= 0.85} <= set(got) and set(got) <= set(want)
+    assert all(abs(got[x] - want[x]) < 1e-9 for x in got)
+    assert len(want) - len(got) <= 1  # at 0.8 itself a fingerprint may be just beyond the radius
+    clean = decontam.clean(df, bench)
+    assert clean.columns == df.columns and {r["doc_id"] for r in clean.collect()} == {i for i, _ in docs} - {i for i, _ in got}
+    assert decontam.matches(df.limit(0), bench).count() == 0 and decontam.clean(df, bench.limit(0)).count() == df.count()
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.matches(df, bench, broadcast_anchors=0).collect()} == set(got)
+
+
+# --- rules by host
+
+
+def brute_measure(text):
+    words = WORD.findall(text or "")
+    lines, seen, dup = (text or "").split("\n"), set(), 0
+    for line in lines:
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    windows = collections.defaultdict(list)
+    for i in range(len(words) - 7):
+        windows[tuple(words[i : i + 8])].append(i)
+    cover = {i + j for at in windows.values() if len(at) > 1 for i in at for j in range(8)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(cover)
+
+
+def test_rules(spark):
+    r = random.Random(2)
+    rows = odd_rows() + [(10 + i, prose(r, 100) if i % 4 else "spam # * " * 30, "en", "bad" if i % 4 == 0 else "good", 1) for i in range(40)]
+    rows += [(99, prose(r, 60), "en", "bad", 1)]
+    df = clash(frame(spark, rows)).drop("host")
+    got = host_rules.judge(df).collect()
+    assert len(got) == len(rows)
+    want = collections.Counter((i, *brute_measure(t)) for i, t, *_ in rows)
+    assert collections.Counter((g["doc_id"], g["n_words"], g["word_chars"], g["n_symbols"], g["n_dup_lines"], g["n_repeat_words"]) for g in got) == want
+    for g in got:
+        assert g["base_failed"] == (g["n_words"] < 20 or 100 * g["n_repeat_words"] > 30 * g["n_words"])
+        assert not (g["kept"] and g["base_failed"])
+    by = {g["doc_id"]: g["kept"] for g in got}
+    assert not by[99] and by[11]  # a good text of a bad host goes, one of a good host stays
+    assert host_rules.judge(df.limit(0)).count() == 0
+    assert sorted(map(str, host_rules.judge(df, broadcast_hosts=0).collect())) == sorted(map(str, got))
+
+
+# --- classifier
+
+
+def test_crf_gradient_is_that_of_the_likelihood():
+    r = np.random.default_rng(0)
+    n = np.array([3, 1, 5, 2])
+    emit, move = r.normal(size=11), r.normal(size=(2, 2))
+    marginal, moves, log = line_crf.forward_backward(emit, move, n)
+    total, at, want, counts = 0.0, 0, np.zeros(11), np.zeros((2, 2))
+    for size in n:
+        weights = {}
+        for code in range(1 << size):
+            y = [code >> i & 1 for i in range(size)]
+            weights[tuple(y)] = np.exp(sum(emit[at + i] for i in range(size) if y[i]) + sum(move[a, b] for a, b in zip(y, y[1:], strict=False)))
+        z = sum(weights.values())
+        total += np.log(z)
+        for y, w in weights.items():
+            want[at : at + size] += np.array(y) * w / z
+            for a, b in zip(y, y[1:], strict=False):
+                counts[a, b] += w / z
+        at += size
+    assert np.allclose(marginal, want) and np.allclose(moves, counts) and np.isclose(log, total)
+
+
+def test_quality(spark):
+    r = random.Random(3)
+    good = lambda: "\n".join(prose(r, 20).capitalize() + "." for _ in range(5))
+    bad = lambda: "\n".join(" ".join(w + "###" for w in prose(r, 20).split()) for _ in range(5))
+    rows = odd_rows() + [(10 + i, good() if i % 2 else bad(), "en", "s", 1) for i in range(200)]
+    docs = clash(frame(spark, rows))
+    labels = spark.createDataFrame([(10 + i, i % 2, 0) for i in range(200)] + [(10, 0, 0), (None, 1, 0), (7777, 1, 0), (11, None, 0)], "doc_id long, quality int, toxic int")
+    model = line_crf.train(docs, labels)
+    got = line_crf.classify(docs, model).collect()
+    assert len(got) == len(rows) and all(0 <= g["score"] <= 1 and g["predicted"] == (g["score"] >= 0.3) for g in got)
+    held = [g for g in got if g["doc_id"] and g["doc_id"] >= 10 and g["held_out"]]
+    assert held and all(g["held_out"] == (zlib.crc32(str(g["doc_id"]).encode()) % 5 == 0) for g in got if g["doc_id"] is not None)
+    assert np.mean([g["predicted"] == (g["doc_id"] % 2) for g in held]) > 0.95
+    assert line_crf.classify(docs.limit(0), model).count() == 0
+    assert {g["score"] for g in line_crf.classify(docs, line_crf.train(docs, labels.limit(0))).collect()} == {0.5}
+
+
+def test_one_chain_of_many_lines():
+    model = {"w": np.zeros(line_crf.WIDTH), "move": np.zeros((2, 2))}
+    assert np.allclose(line_crf.score_texts(model, ["\n" * 3000, "", None, "a"]), 0.5)
+
+
+# --- language
+
+
+def brute_word(word, p, longest):
+    if not word:
+        return 1.0
+    total = 0.0
+    for k in range(1, min(longest, len(word)) + 1):
+        q = p.get(word[:k], langid.RARE if k == 1 else 0.0)
+        total += q * brute_word(word[k:], p, longest) if q else 0.0
+    return total
+
+
+def test_forward_sums_all_cuts():
+    p = {"a": 0.2, "b": 0.1, "ab": 0.3, "▁a": 0.05, "▁ab": 0.1, "ba": 0.01, "bab": 0.2}
+    model = {"langs": ["x"], "pieces": {k: np.array([v]) for k, v in p.items()}, "longest": 3}
+    s = langid.Scorer(model)
+    words = ["ab", "abab", "bab", "cab", "aba", "c", "b" * 30, "ab" * 60]
+    s.learn(set(words))
+    for w in words[:6]:
+        assert np.isclose(np.exp(s.logs[s.ids[w]][0]), brute_word("▁" + w, p, 3))
+    for w in words[6:]:
+        sums, logs = langid.forward("▁" + w, p, 3, 0.0, 1.0)
+        assert np.isclose(np.log(sums[-1]) + logs[-1], s.logs[s.ids[w]][0])
+    q = langid.fit({"ab": 10, "b": 3}, list(p))
+    assert np.isclose(sum(q.values()), 1) and q["▁ab"] > q["▁a"]
+
+
+def test_language(spark):
+    r = random.Random(4)
+    say = {"en": "the and ing tion her was this that with from".split(), "de": "der und ung schaft nicht ein mit für keit das".split()}
+    rows = odd_rows() + [(10 + i, " ".join(r.choice(say["en" if i % 2 else "de"]) + r.choice(["", "en", "s"]) for _ in range(60)), "en" if i % 2 else "de", "s", 1) for i in range(160)]
+    docs = clash(frame(spark, rows))
+    model = langid.train(docs)
+    got = langid.identify(docs, model).collect()
+    assert len(got) == len(rows)
+    for g in got:
+        assert 0 <= g["score"] <= 1 and (g["lang_pred"] == "und") == (not re.search(r"[^\W\d_]", g["text"] or ""))
+    held = [g for g in got if g["held_out"] and g["doc_id"] >= 10]
+    assert held and np.mean([g["lang"] == g["lang_pred"] for g in held]) > 0.95
+    assert langid.identify(docs.limit(0), model).count() == 0
+    assert {g["lang_pred"] for g in langid.identify(docs, langid.train(docs.limit(0))).collect()} == {"und"}
+
+
+# --- personal data
+
+
+def test_permutations_are_permutations():
+    for n in (1, 2, 3, 10, 97, 1000):
+        p = pii.Permutation(b"k", "t", n)
+        out = [p(x) for x in range(n)]
+        assert sorted(out) == list(range(n)) and [p(y, True) for y in out] == list(range(n))
+        assert n == 1 or all(x != y for x, y in enumerate(out))
+    big = pii.Permutation(b"k", "t", 36**40)
+    assert big(big(12345), True) == 12345
+
+
+VALUES = [
+    ("card", "4111 1111 1111 1111"), ("card", "4111-1111-1111-1111"), ("ssn", "123-45-6789"), ("ip", "192.168.10.7"), ("date", "2023-02-28"), ("date", "7.3.1999"), ("date", "12/31/2020"),
+    ("phone", "+1 (555) 123-4567"), ("phone", "(030) 1234-5678"), ("email", "jane.doe42@example.com"), ("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB82WEST12345698765432"), ("secret", "0123456789abcdef" * 2 + "01234567"),
+]
+
+
+@pytest.mark.parametrize(("kind", "value"), VALUES)
+def test_values_keep_their_format(kind, value):
+    text = f"before {value} after, {value}."
+    new, counts = pii.pseudonymised(text, b"k")
+    assert counts[pii.KINDS.index(kind)] == 2 and sum(counts) == 2 and value not in new
+    m = re.fullmatch(r"before (.*) after, (.*)\.", new)
+    assert m and m[1] == m[2]
+    if kind not in ("ip", "date"):
+        assert re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", m[1]))) == re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", value))) or kind == "secret"
+    assert pii.replaced(kind, m[1], b"k", True) == value or kind == "date"
+    assert pii.pseudonymised(text, b"other")[0] != new
+
+
+def test_what_is_no_personal_data_stays():
+    for text in ("4111 1111 1111 1112", "999-99-9999", "300.1.1.1", "2023-02-30", "13/13/2020", "v1.2.3.4.5", "in 1999 and 2000", "a@b", "", None, "12345", "DE00 3704 0044 0532 0130 00"):
+        assert pii.pseudonymised(text, b"k") == (text, [0] * len(pii.KINDS))
+
+
+def test_documents_without_their_data(spark):
+    rows = odd_rows() + [(50 + i, f"call +1 (555) 123-{4567 + i % 2} or write to joe@example.org", "en", "s", 5) for i in range(4)]
+    docs = clash(frame(spark, rows))
+    out = pii.pseudonymise(docs)
+    got = {r["doc_id"]: r for r in out.collect() if r["doc_id"] and r["doc_id"] >= 50}
+    assert out.count() == len(rows) and got[50]["text"] == got[52]["text"] != got[51]["text"] and got[50]["n_email"] == got[50]["n_phone"] == 1
+    same = pii.in_texts(docs)
+    assert same.columns == docs.columns and pii.pseudonymise(docs.limit(0)).count() == 0
+    texts = collections.Counter(t for _, t, *_ in odd_rows())
+    assert collections.Counter(r["text"] for r in same.collect() if r["doc_id"] is None or r["doc_id"] < 50) == texts
+
+
+# --- mixture
+
+
+def brute_targets(sizes, weights=(1, 2, 3), most=3):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    total, full = sum(sizes.values()), set()
+    while True:
+        rest = total - sum(most * sizes[s] for s in full)
+        share = {s: rest * w[s] / sum(w[x] for x in order if x not in full) for s in order if s not in full}
+        over = {s for s in share if share[s] > most * sizes[s]}
+        if not over:
+            return share | {s: most * sizes[s] for s in full}
+        full |= over
+
+
+def test_mixture(spark):
+    r = random.Random(6)
+    rows = odd_rows() + [(10 + i, prose(r, r.randrange(1, 300)), "en", r.choice(["a", "b", "hot", "hot", "hot", "hot", "hot", "zz"]), 1) for i in range(900)]
+    rows += [(5000, "few words", "en", "tiny", 1), (5001, "", "en", "none", 0)]
+    docs = clash(frame(spark, rows))
+    got = mixing.mix(docs, block=50).collect()
+    assert len(got) == len(rows)
+    n = {}
+    for i, t, _, s, _ in rows:
+        n[s] = n.get(s, 0) + len(WORD.findall(t or ""))
+    want = brute_targets(n)
+    taken, biggest = collections.Counter(), collections.Counter()
+    for g in got:
+        s = g["source"]
+        assert g["source_size"] == n[s] and abs(g["target"] - want[s]) <= 1e-6 * max(1, want[s])
+        assert g["taken"] == g["size"] * g["copies"] <= 3 * g["size"]
+        taken[s] += g["taken"]
+        biggest[s] = max(biggest[s], g["size"])
+    for s in n:
+        assert abs(taken[s] - want[s]) <= biggest[s] + 1e-6
+    assert abs(taken["hot"] - want["hot"]) < 400 and abs(sum(want.values()) - sum(n.values())) < 1e-6
+    assert sorted(map(str, mixing.mix(docs, block=50).collect())) == sorted(map(str, got))
+    assert mixing.mix(docs.limit(0)).count() == 0
+    out = mixing.take(docs, block=50)
+    assert out.columns == [*docs.columns, "copy"]
+    rows_out = collections.Counter((r["doc_id"], r["source"]) for r in out.select("doc_id", "source").collect())
+    plan = collections.Counter()
+    for g in got:
+        plan[g["doc_id"], g["source"]] += g["copies"]
+    assert rows_out == collections.Counter({k: v for k, v in plan.items() if v})
+
+
+def test_flight_keeps_the_totals():
+    r = random.Random(8)
+    for _ in range(50):
+        size = [float(r.randrange(1, 100)) for _ in range(r.randrange(1, 60))]
+        p = [r.random() for _ in size]
+        before = sum(p), sum(a * b for a, b in zip(p, size, strict=True))
+        left = mixing.flight(p, size, r)
+        assert len(left) <= 2 and abs(sum(p) - before[0]) < 1e-6 and abs(sum(a * b for a, b in zip(p, size, strict=True)) - before[1]) < 1e-4
+        assert all(x in (0, 1) for i, x in enumerate(p) if i not in left)
