@@ -159,14 +159,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
 def take(docs: DataFrame, **options) -> DataFrame:
     """docs with the column copy (replaced if there is one): a row for each time that the mix takes a row, from 1.
 
-    Rows that the mix leaves go. Rows alike in doc_id, source and size share their copies in any order.
+    Rows that the mix leaves go. Rows alike in doc_id and source whose copies differ get them in any order. The texts are
+    shuffled once, to a hash join with one narrow row for each document, so they are never sorted.
     """
-    mixed = mix(docs, **options).where("copies > 0")
-    key = lambda size: F.xxhash64("doc_id", F.coalesce("source", F.lit("")), F.col("source").isNull(), size)
-    plan = mixed.select(key(F.col("size")).alias("mix_key"), "copies")
-    plan = plan.withColumn("mix_at", F.row_number().over(Window.partitionBy("mix_key").orderBy(F.desc("copies"))))
-    sized = docs.drop("copy").withColumn("mix_key", key(size_of(F.col("text"))))
-    sized = sized.withColumn("mix_at", F.row_number().over(Window.partitionBy("mix_key").orderBy("mix_key")))
-    out = sized.join(plan.select("mix_key", "mix_at", F.col("copies").alias("mix_copies")), ["mix_key", "mix_at"])
+    key = F.xxhash64("doc_id", F.coalesce("source", F.lit("")), F.col("source").isNull())
+    mixed = save(mix(docs, **options).select(key.alias("mix_key"), "copies"), "mixed")
+    plan = save(mixed.groupBy("mix_key").agg(F.min("copies").alias("mix_least"), F.max("copies").alias("mix_copies")).where("mix_copies > 0"), "plan")
     names = [c for c in docs.columns if c != "copy"]
-    return out.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("copy"))
+    keyed = docs.select(*names, key.alias("mix_key"))
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("copy")
+    alike = plan.where("mix_least = mix_copies").select("mix_key", "mix_copies")
+    out = keyed.join(alike.hint("shuffle_hash"), "mix_key").select(*names, each)
+    odd = plan.where("mix_least < mix_copies").select("mix_key")
+    if odd.isEmpty():
+        return out
+    at = lambda *order: F.row_number().over(Window.partitionBy("mix_key").orderBy(*order)).alias("mix_at")
+    dealt = mixed.join(odd, "mix_key", "left_semi").select("mix_key", F.col("copies").alias("mix_copies"), at(F.desc("copies")))
+    rows = keyed.join(odd, "mix_key", "left_semi").select("*", at("mix_key"))
+    return out.union(rows.join(dealt.where("mix_copies > 0"), ["mix_key", "mix_at"]).select(*names, each))
