@@ -179,7 +179,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     found = save(near_duplicates(docs, **options), "near")
     unique = found.where("doc_id is not null and doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("root").alias("root"))
     unique = save(unique, "kept")
-    once = docs.join(unique.where("n = 1").select("doc_id"), "doc_id", "left_semi")
+    once = docs.join(unique.where("n = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")  # wide rows are dealt once, never sorted
     again = docs.join(unique.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     lone = docs.where("doc_id is null").withColumn("_fp", fingerprint(F.col("text"), options.get("words", 3), options.get("seed", 42)))
     roots = found.where("component_id is null").groupBy("fingerprint").agg(F.min("root").alias("_root"))
