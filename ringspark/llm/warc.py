@@ -111,9 +111,9 @@ def roles(pages: DataFrame, least: int = LEAST) -> DataFrame:
 def write(pages: DataFrame, folder: str | None = None, files: int | None = None) -> DataFrame:
     """Writes a record for each row of pages (page_id, url, html) and returns path, records, bytes of the files.
 
-    Null html is an empty payload; null urls are left out of the record. Rows are dealt by page_id to `files` archives
-    (default: the number of shuffle partitions) and sorted, so that reruns write the same bytes; rows that repeat are
-    records that repeat. Empty tables write no file.
+    Null html is an empty payload; null urls are left out of the record. Each partition of pages becomes an archive, in the
+    order in which it is read, so that the pages themselves are not shuffled; `files` deals them by page_id to so many
+    archives instead. Rows that repeat are records that repeat. Empty tables write no file.
     """
     spark = pages.sparkSession
     small_batches(spark)
@@ -124,8 +124,7 @@ def write(pages: DataFrame, folder: str | None = None, files: int | None = None)
     role = roles(pages).withColumnsRenamed({"page_id": "page_id_", "digest": "digest_"})
     rows = pages.select("page_id", "url", "html", sha.alias("digest"))
     rows = rows.join(role, (F.col("page_id") == F.col("page_id_")) & (F.col("digest") == F.col("digest_")), "left").select("page_id", "url", "html", "first")
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, F.coalesce(F.xxhash64("page_id"), F.xxhash64("html"))).sortWithinPartitions("page_id", "url", "html")
+    dealt = rows.repartition(files, F.coalesce(F.xxhash64("page_id"), F.xxhash64("html"))) if files else rows
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, root = fs.FileSystem.from_uri(folder)
