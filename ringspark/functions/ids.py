@@ -52,24 +52,36 @@ def joined(parts: list[Column]) -> Column:
     return F.concat(*(F.lower(F.lpad(F.hex(p), 8, "0")) for p in parts))
 
 
+#: Sums need few parts: three of 13, 13 and 14 digits, so that a carry fits a long as well.
+WIDE = ((1, 13), (14, 13), (27, 14))
+
+
+def _wide(id: Column | str) -> list[Column]:
+    return [F.conv(F.substring(_c(id), at, n), 16, 10).cast("long") for at, n in WIDE]
+
+
+def _wide_joined(parts: list[Column]) -> Column:
+    return F.lower(F.concat(*(F.lpad(F.hex(p), n, "0") for p, (_, n) in zip(parts, WIDE, strict=True))))
+
+
 def add(a: Column | str, b: Column | str) -> Column:
     """(a + b) mod 2^160."""
-    out, carry = [], F.lit(0).cast("long")
-    for x, y in zip(reversed(limbs(a)), reversed(limbs(b)), strict=True):
-        total = x + y + carry
-        out.append(total.bitwiseAND(F.lit(LOW)))
-        carry = F.shiftright(total, 32)
-    return joined(out[::-1])
+    out, carry = [], None
+    for x, y, (_, n) in zip(reversed(_wide(a)), reversed(_wide(b)), reversed(WIDE), strict=True):
+        total = x + y if carry is None else x + y + carry
+        out.append(total.bitwiseAND(F.lit((1 << 4 * n) - 1)))
+        carry = F.shiftright(total, 4 * n)
+    return _wide_joined(out[::-1])
 
 
 def subtract(a: Column | str, b: Column | str) -> Column:
     """(a - b) mod 2^160."""
-    out, borrow = [], F.lit(0).cast("long")
-    for x, y in zip(reversed(limbs(a)), reversed(limbs(b)), strict=True):
-        total = x - y - borrow
-        out.append(total.bitwiseAND(F.lit(LOW)))
-        borrow = F.when(total < 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
-    return joined(out[::-1])
+    out, borrow = [], None
+    for x, y, (_, n) in zip(reversed(_wide(a)), reversed(_wide(b)), reversed(WIDE), strict=True):
+        total = x - y if borrow is None else x - y + borrow
+        out.append(total.bitwiseAND(F.lit((1 << 4 * n) - 1)))
+        borrow = F.shiftright(total, 63)  # -1 below zero
+    return _wide_joined(out[::-1])
 
 
 def power(p: Column | str) -> Column:

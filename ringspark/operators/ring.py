@@ -48,7 +48,8 @@ def owners(keys: DataFrame, nodes: DataFrame, key: str = "key", digits: int = 2)
     nodes: the living ones, column id. Without nodes no row is left. A null key has no owner and no row.
     """
     pieces = intervals(nodes.select("id").distinct(), digits)
-    at = keys.withColumn("ring_bucket", F.conv(F.substring(key, 1, digits), 16, 10).cast("int"))
+    # a bucket that can't be null spares Spark a filter that would take the key's expression once more
+    at = keys.withColumn("ring_bucket", F.coalesce(F.conv(F.substring(key, 1, digits), 16, 10).cast("int"), F.lit(-1)))
     joined = at.join(pieces, (at.ring_bucket == pieces.bucket) & (F.col(key) > F.col("low")) & (F.col(key) <= F.col("high")))
     return joined.select(*keys.columns, "owner", F.col("pred").alias("owner_pred"))
 
@@ -80,8 +81,11 @@ def replicas(keys: DataFrame, nodes: DataFrame, fetch: int, put: int, key: str =
 
 def fingers(nodes: DataFrame, bits: int = ids.BITS, digits: int = 2) -> DataFrame:
     """id, i, start, finger: the owner of id + 2^i for the highest `bits` powers."""
-    starts = nodes.select("id", F.explode(F.sequence(F.lit(ids.BITS - bits), F.lit(ids.BITS - 1))).alias("i"))
-    starts = starts.withColumn("start", ids.add("id", ids.power("i")))
+    from ringspark.operators.tables import save
+
+    powers = nodes.sparkSession.range(ids.BITS - bits, ids.BITS).select(F.col("id").cast("int").alias("i"), ids.power("id").alias("power"))
+    starts = nodes.select("id").repartition("id").crossJoin(F.broadcast(powers))  # 160 rows
+    starts = save(starts.select("id", "i", ids.add("id", "power").alias("start")), "starts")
     return owners(starts, nodes, "start", digits).select("id", "i", "start", F.col("owner").alias("finger"))
 
 
@@ -154,7 +158,8 @@ def routes(lookups: DataFrame, nodes: DataFrame, mode: str = "fingers", succs: i
             ends = ends | stop
         here = here.withColumn("ends", ends).withColumn("path", F.concat("path", F.array("cur")))
         finished = here.where("ends").select("src", "key", F.concat("path", F.when(F.col("cur") == F.col("succ"), F.array().cast("array<string>")).otherwise(F.array("succ"))).alias("path"), F.col("succ").alias("owner"))
-        far = F.array_max(F.transform(F.filter("known", lambda x: ids.between("cur", "key", x)), lambda x: F.struct(ids.distance("cur", x).alias("d"), x.alias("id"))))["id"]
+        # the furthest clockwise from cur: those past zero come last, else in order of ids
+        far = F.array_max(F.transform(F.filter("known", lambda x: ids.between("cur", "key", x)), lambda x: F.struct((x < F.col("cur")).alias("past"), x.alias("id"))))["id"]
         open_ = save(here.where("not ends").select("src", "key", far.alias("cur"), "path"), "frontier")
         done = save(finished if done is None else done.union(finished), "routed")
         if open_.isEmpty():
