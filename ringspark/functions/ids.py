@@ -186,6 +186,23 @@ def highest_mismatch(a: Column | str, b: Column | str) -> Column:
     return F.when(bit_length(a) != bit_length(b), bit_length(b) - 1).otherwise(bit_length(mixed) - 1).cast("int")
 
 
+def bits_of(id: Column | str) -> Column:
+    """The id as 160 characters 0 and 1, the highest first."""
+    return F.concat(*(F.lpad(F.bin(x), 32, "0") for x in limbs(id)))
+
+
+def zero_run(id: Column | str, top: int, zeros: int) -> Column:
+    """The index of the highest bit, from `top` down, at which `zeros` zero bits in a row begin (going down); -1 if none."""
+    at = F.locate("0" * zeros, F.substring(bits_of(id), BITS - top, top + 1))
+    return F.when(at > 0, F.lit(top + 1) - at).otherwise(F.lit(-1)).cast("int")
+
+
+def replace_low_bits(id: Column | str, position: int, source: Column | str) -> Column:
+    """The bits from `position` up of id, and below them the highest bits of source."""
+    joined_bits = F.concat(F.substring(bits_of(id), 1, BITS - position), F.substring(bits_of(source), 1, position))
+    return F.lower(F.concat(*(F.lpad(F.conv(F.substring(joined_bits, 1 + 32 * i, 32), 2, 16), 8, "0") for i in range(LIMBS))))
+
+
 def slot(id: Column | str, k: int) -> Column:
     """The k-th group of six bits from the top, k from 0 to 26; the last has four bits."""
     three = F.conv(F.substring(_c(id), 1 + 3 * (k // 2), 3), 16, 10).cast("int")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from ringspark.plans import repair_queries, ring_queries, store_queries
+from ringspark.plans import repair_queries, ring_queries, store_queries, view_queries
 
-MODULES = (ring_queries, store_queries, repair_queries)
+MODULES = (ring_queries, store_queries, repair_queries, view_queries)
 
 
 def queries() -> dict[str, Callable]:
