@@ -62,46 +62,44 @@ def forward(word: str, pieces: dict[str, np.ndarray | float], longest: int, zero
 
 
 def fit(counts: dict[str, int], pieces: list[str], rounds: int = 3, smooth: float = 0.05) -> dict[str, float]:
-    """Piece probabilities of one language from its word counts."""
+    """Piece probabilities of one language from its word counts.
+
+    A word's cuts (begin, end, piece) are looked up once; a character without a piece of its own is a cut of probability
+    RARE. Words are at most some tens of letters here, so plain products are far from underflow.
+    """
     vocab, longest = set(pieces), max(map(len, pieces), default=1)
-    inside = {}
-    start: Counter = Counter()
+    words, start = [], Counter()
     for word, n in counts.items():
         w = MARK + word
-        inside[w] = n
+        cuts = []
         for i in range(len(w)):
             for j in range(i + 1, min(len(w), i + longest) + 1):
                 if w[i:j] in vocab:
+                    cuts.append((i, j, w[i:j]))
                     start[w[i:j]] += n
+                elif j == i + 1:
+                    cuts.append((i, j, None))
+        words.append((len(w), n, cuts))
     total = sum(start.values()) or 1
-    p = {k: v / total for k, v in start.items()}
+    p = {k: v / total for k, v in start.items()} | {None: RARE}
     for _ in range(rounds):
-        expected: dict[str, float] = dict.fromkeys(p, 0.0)
-        for w, n in inside.items():
-            sums, logs = forward(w, p, longest, 0.0, 1.0)
-            back = [0.0] * len(w) + [1.0]
-            for begin in range(len(w) - 1, -1, -1):
-                for end in range(begin + 1, min(len(w), begin + longest) + 1):
-                    q = p.get(w[begin:end])
-                    if q is not None:
-                        # back is kept relative to the scale taken out after each position
-                        back[begin] += q * back[end] * (1.0 if logs[begin] == logs[end] else math.exp(min(logs[begin] - logs[end], 700)))
-                if w[begin] not in p:
-                    back[begin] += RARE * back[begin + 1] * (1.0 if logs[begin] == logs[begin + 1] else math.exp(min(logs[begin] - logs[begin + 1], 700)))
-            if sums[-1] <= 0:
-                continue
-            for begin in range(len(w)):
-                left = sums[begin] * n / sums[-1]
-                for end in range(begin + 1, min(len(w), begin + longest) + 1):
-                    q = p.get(w[begin:end])
-                    if q is not None:
-                        expected[w[begin:end]] += left * q * back[end] * (1.0 if logs[begin] == logs[end] else math.exp(min(logs[begin] - logs[end], 700)))
+        expected: dict[str, float] = dict.fromkeys(start, 0.0)
+        for size, n, cuts in words:
+            ahead, back = [1.0] + [0.0] * size, [0.0] * size + [1.0]
+            for i, j, piece in cuts:  # in order of begin, so ahead[i] is whole
+                ahead[j] += ahead[i] * p[piece]
+            for i, j, piece in reversed(cuts):
+                back[i] += p[piece] * back[j]
+            whole = n / ahead[size] if ahead[size] > 0 else 0.0
+            for i, j, piece in cuts:
+                if piece is not None:
+                    expected[piece] += ahead[i] * p[piece] * back[j] * whole
         total = sum(expected.values()) + smooth * len(expected)
-        p = {k: (v + smooth) / total for k, v in expected.items()}
-    return p
+        p = {k: (v + smooth) / total for k, v in expected.items()} | {None: RARE}
+    return {k: v for k, v in p.items() if k is not None}
 
 
-def train(docs: DataFrame, path: str = VOCABULARY, per_language: int = 600, longest_word: int = 40) -> dict:
+def train(docs: DataFrame, path: str = VOCABULARY, per_language: int = 600, longest_word: int = 30) -> dict:
     """A model from text and lang of the rows whose crc32(doc_id) mod 4 is not 2.
 
     Fitted on a sample: about per_language documents of each language, those with the smallest hash of doc_id; words of over
