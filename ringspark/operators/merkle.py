@@ -49,8 +49,9 @@ def hashes(keys: DataFrame, by: list[str] | None = None) -> DataFrame:
         return nodes.withColumn("hash", F.lit(None).cast("string"))
     leaves = nodes.where("is_leaf")
     ordered = lambda a: F.array_join(F.transform(F.sort_array(a), lambda x: x["h"]), "")
-    own = keys.select(*by, "id").distinct()
-    placed = [own.withColumn("prefix", ids.slots("id", d)).join(leaves.where(F.col("depth") == d), [*by, "prefix"]) for d in range(deepest + 1)]
+    own = save(keys.select(*by, "id").distinct(), "own")
+    at = sorted(r[0] for r in leaves.select("depth").distinct().collect())  # 28 depths at most
+    placed = [own.withColumn("prefix", ids.slots("id", d)).join(leaves.where(F.col("depth") == d), [*by, "prefix"]) for d in at]
     item = F.struct("id", F.concat(*(F.substring("id", 39 - 2 * i, 2) for i in range(20))).alias("h"))
     at_leaf = reduce(DataFrame.union, [p.select(*by, "depth", "prefix", item.alias("item")) for p in placed])
     done = save(at_leaf.groupBy(*by, "depth", "prefix").agg(F.sha1(F.unhex(ordered(F.collect_list("item")))).alias("hash")), "leaf-hashes")
