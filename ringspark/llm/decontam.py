@@ -92,7 +92,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radi
     if anchors.count() <= broadcast_anchors:
         anchors = F.broadcast(anchors)
     hashed = docs.select("doc_id", shingles_of(words_of(F.col("text"))).alias("all"))
-    placed = hashed.select("doc_id", "all", F.posexplode("all").alias("at", "anchor")).join(anchors, "anchor")
+    # the outer form spares the filter that Spark infers, which would make all shingles once more; its nulls join nothing
+    placed = hashed.select("doc_id", "all", F.posexplode_outer("all").alias("at", "anchor")).join(anchors, "anchor")
     moved = F.transform(F.sequence(F.lit(-slack), F.lit(slack)), lambda d: F.greatest(F.lit(0), F.col("at") - F.col("offset") + d))
     size = F.greatest(F.lit(1), F.col("n_words") - SHINGLE + 1)
     cut = lambda s: F.struct(s.alias("position"), F.slice("all", s + 1, size).alias("sh"))
