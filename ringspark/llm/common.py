@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of the ASCII white space that separates words, as in [^\x20\x09-\x0D]+.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from ringspark.operators.tables import save, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="ringspark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+__all__ = ["WORD", "held_out", "save", "shared_dir", "small_batches", "table", "uniform"]
 
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df as a table in the shared folder and reads it back, so that a lost executor costs one stage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of the ASCII white space that separates words, as in [^\x20\x09-\x0D]+.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
