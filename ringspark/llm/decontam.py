@@ -10,7 +10,8 @@ occurs) is at least 0.8.
    its place in the item is taken, and those moved by up to `slack` words. Nothing else is left out.
 2. Windows of equal content are fingerprinted once: 64 bits, each the majority of the shingles' hash bits.
 3. Multi-index: fingerprints are cut into radius + 1 blocks. Two of them within the radius agree in a block, so a join
-   by block, among items of the window's size, finds all pairs within the radius; the Hamming distance then decides.
+   by block finds all pairs within the radius; the Hamming distance then decides. Blocks are narrow, so the key has an
+   anchor of the item in it too, which a match can't lack: windows don't meet all items of their size.
 4. The exact weighted similarity of window and item verifies each candidate.
 """
 
@@ -64,19 +65,42 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
 
 
 def items_of(benchmark: DataFrame, similarity: float) -> DataFrame:
-    """item_id, n_words, sh (shingles in order), need (anchors that a matching window can't all lack)."""
+    """item_id, n_words, sh (shingles in order), item_fp, need (anchors that a matching window can't all lack)."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     items = items.select("item_id", F.size("w").alias("n_words"), shingles_of(F.col("w")).alias("sh"))
     shared = F.ceil(F.lit(2 * similarity / (1 + similarity)) * F.size("sh") - 1e-9)
-    return items.withColumn("need", (F.size("sh") - shared + 1).cast("int")).distinct()
+    return items.withColumn("need", (F.size("sh") - shared + 1).cast("int")).distinct().withColumn("item_fp", simhash(F.col("sh")))
 
 
 def anchors_of(items: DataFrame) -> DataFrame:
-    """anchor, n_words, offset: each item's rarest shingles and their places in it."""
-    placed = items.select("item_id", "n_words", "need", "sh", F.posexplode("sh").alias("offset", "anchor"))
+    """anchor, n_words, offset, item_fp: each item's rarest shingles and their places in it."""
+    placed = items.select("n_words", "need", "sh", "item_fp", F.posexplode("sh").alias("offset", "anchor")).distinct()
     often = placed.groupBy("anchor").agg(F.count("*").alias("often"))
-    each = placed.join(often, "anchor").groupBy("item_id", "n_words", "need", "sh").agg(F.sort_array(F.collect_list(F.struct("often", "anchor", "offset"))).alias("found"))
-    return each.select("n_words", F.inline(F.slice("found", F.lit(1), F.col("need")))).select("anchor", "n_words", "offset").distinct()
+    each = placed.join(often, "anchor").groupBy("n_words", "need", "sh", "item_fp").agg(F.sort_array(F.collect_list(F.struct("often", "anchor", "offset"))).alias("found"))
+    return each.select("n_words", "item_fp", F.inline(F.slice("found", F.lit(1), F.col("need")))).select("anchor", "n_words", "offset", "item_fp").distinct()
+
+
+def windows_of(docs: DataFrame, anchors: DataFrame, slack: int, broadcast_anchors: int) -> DataFrame:
+    """doc_id, n_words, position, sh: the windows that have an anchor at its place in an item, or up to slack words beside it.
+
+    At most broadcast_anchors anchors are broadcast, and a text's shingles stay in its row. More of them are joined by a
+    shuffle of narrow rows, and what they find goes back to the row of shingles, which is dealt once.
+    """
+    spots = anchors.select("anchor", "n_words", "offset").distinct()
+    hashed = docs.select("doc_id", shingles_of(words_of(F.col("text"))).alias("all"))
+    # the outer form spares the filter that Spark infers, which would make all shingles once more; its nulls join nothing
+    each = F.posexplode_outer("all").alias("at", "anchor")
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(-slack), F.lit(slack)), lambda d: F.greatest(F.lit(0), F.col("at") - F.col("offset") + d)))
+    size = F.greatest(F.lit(1), F.col("n_words") - SHINGLE + 1)
+    if spots.count() <= broadcast_anchors:
+        placed = hashed.select("doc_id", "all", each).join(F.broadcast(spots), "anchor")
+        cut = lambda s: F.struct(s.alias("position"), F.slice("all", s + 1, size).alias("sh"))
+        windows = placed.select("doc_id", "n_words", F.inline(F.transform(starts, cut)))
+    else:
+        hashed = save(hashed.withColumn("row", F.monotonically_increasing_id()), "shingles")
+        placed = hashed.select("row", each).join(spots, "anchor").select("row", "n_words", F.explode(starts).alias("position")).distinct()
+        windows = placed.join(hashed, "row").select("doc_id", "n_words", "position", F.slice("all", F.col("position") + 1, size).alias("sh"))
+    return windows.where(F.size("sh") > 0).groupBy("doc_id", "n_words", "position").agg(F.first("sh").alias("sh"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 19, slack: int = 1, broadcast_anchors: int = 200_000) -> DataFrame:
@@ -84,28 +108,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radi
 
     Equal similarities: the first position. Null and empty texts and items match nothing; items that repeat count once;
     rows of one doc_id count as one document. A null doc_id or item_id is kept as a value. Empty tables give an empty
-    one; other columns are ignored. The anchors are broadcast only if there are at most broadcast_anchors, else joined
-    by a shuffle.
+    one; other columns are ignored.
     """
     items = save(items_of(benchmark, similarity), "items")
     anchors = save(anchors_of(items), "anchors")
-    if anchors.count() <= broadcast_anchors:
-        anchors = F.broadcast(anchors)
-    hashed = docs.select("doc_id", shingles_of(words_of(F.col("text"))).alias("all"))
-    # the outer form spares the filter that Spark infers, which would make all shingles once more; its nulls join nothing
-    placed = hashed.select("doc_id", "all", F.posexplode_outer("all").alias("at", "anchor")).join(anchors, "anchor")
-    moved = F.transform(F.sequence(F.lit(-slack), F.lit(slack)), lambda d: F.greatest(F.lit(0), F.col("at") - F.col("offset") + d))
-    size = F.greatest(F.lit(1), F.col("n_words") - SHINGLE + 1)
-    cut = lambda s: F.struct(s.alias("position"), F.slice("all", s + 1, size).alias("sh"))
-    windows = placed.select("doc_id", "n_words", F.inline(F.transform(F.array_distinct(moved), cut))).where(F.size("sh") > 0)
-    windows = save(windows.groupBy("doc_id", "n_words", "position").agg(F.first("sh").alias("sh")), "windows")
-    wide = windows.select("n_words", "sh").distinct().withColumn("fp", simhash(F.col("sh")))
-    distinct = save(wide, "contents")
-    index = save(items.select("item_id", "n_words", F.col("sh").alias("item_sh"), simhash(F.col("sh")).alias("item_fp")), "index")
-    left = distinct.select("n_words", "fp").distinct().select("n_words", "fp", F.inline(blocks_of(F.col("fp"), radius)))
-    right = index.select("n_words", "item_fp", F.inline(blocks_of(F.col("item_fp"), radius)))
-    near = left.join(right.distinct(), ["n_words", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    windows = save(windows_of(docs, anchors, slack, broadcast_anchors), "windows")
+    distinct = save(windows.select("n_words", "sh").distinct().withColumn("fp", simhash(F.col("sh"))), "contents")
+    held = distinct.select("n_words", "fp", F.explode("sh").alias("anchor")).join(anchors.select("n_words", "anchor").distinct(), ["n_words", "anchor"], "left_semi")
+    left = held.distinct().select("n_words", "anchor", "fp", F.inline(blocks_of(F.col("fp"), radius)))
+    right = anchors.select("n_words", "anchor", "item_fp").distinct().select("n_words", "anchor", "item_fp", F.inline(blocks_of(F.col("item_fp"), radius)))
+    near = left.join(right, ["n_words", "anchor", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
     near = near.select("n_words", "fp", "item_fp").distinct()
+    index = items.select("item_id", "n_words", "item_fp", F.col("sh").alias("item_sh"))
     verified = distinct.join(near, ["n_words", "fp"]).join(index, ["n_words", "item_fp"])
     verified = verified.select("n_words", "sh", "item_id", weighted_jaccard(F.col("sh"), F.col("item_sh")).alias("similarity")).where(F.col("similarity") >= similarity)
     found = windows.join(save(verified, "verified"), ["n_words", "sh"])
