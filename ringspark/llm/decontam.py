@@ -4,11 +4,13 @@ Words are runs of letters and digits, lower-cased. A benchmark item of n words i
 window and an item match if the weighted Jaccard similarity of their five-word shingles (weight: how often a shingle
 occurs) is at least 0.8.
 
-1. Anchors. At a similarity of s, a window shares at least ceil(2 * s / (1 + s) * N) of an item's N shingles, so it has
-   one of any N + 1 - that many of them. Each item's rarest so many shingles are its anchors; a window without an anchor
-   can't match and is not fingerprinted. Where an anchor of an item stands in a document, the window that puts it at
-   its place in the item is taken, and those moved by up to `slack` words. Nothing else is left out.
-2. Windows of equal content are fingerprinted once: 64 bits, each the majority of the shingles' hash bits.
+1. Anchors. At a similarity of s, a window shares at least ceil(s * N) of an item's N shingles (that many if the text is
+   shorter than the item), so it has one of any N + 1 - that many of them. Each item's rarest so many shingles are its
+   anchors; a window without an anchor can't match and is not fingerprinted. Where an anchor stands in a document, all
+   windows that hold it are taken: the order of the parts of a passage doesn't matter. A window that the end of the text
+   cuts off is taken if it puts the anchor at its place in the item, or up to `slack` words beside it.
+2. Windows of equal content are fingerprinted once: 64 bits, each the majority of the shingles' hash bits. Those with
+   fewer than ceil(s * N) shingles that any item of their size has can't match and are left out.
 3. Multi-index: fingerprints are cut into radius + 1 blocks. Two of them within the radius agree in a block, so a join
    by block finds all pairs within the radius; the Hamming distance then decides. Blocks are narrow, so the key has an
    anchor of the item in it too, which a match can't lack: windows don't meet all items of their size.
@@ -68,7 +70,7 @@ def items_of(benchmark: DataFrame, similarity: float) -> DataFrame:
     """item_id, n_words, sh (shingles in order), item_fp, need (anchors that a matching window can't all lack)."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     items = items.select("item_id", F.size("w").alias("n_words"), shingles_of(F.col("w")).alias("sh"))
-    shared = F.ceil(F.lit(2 * similarity / (1 + similarity)) * F.size("sh") - 1e-9)
+    shared = F.ceil(F.lit(similarity) * F.size("sh") - 1e-9)
     return items.withColumn("need", (F.size("sh") - shared + 1).cast("int")).distinct().withColumn("item_fp", simhash(F.col("sh")))
 
 
@@ -81,7 +83,7 @@ def anchors_of(items: DataFrame) -> DataFrame:
 
 
 def windows_of(docs: DataFrame, anchors: DataFrame, slack: int, broadcast_anchors: int) -> DataFrame:
-    """doc_id, n_words, position, sh: the windows that have an anchor at its place in an item, or up to slack words beside it.
+    """doc_id, n_words, position, sh: the windows that hold an anchor; of those cut off by the text's end see the module.
 
     At most broadcast_anchors anchors are broadcast, and a text's shingles stay in its row. More of them are joined by a
     shuffle of narrow rows, and what they find goes back to the row of shingles, which is dealt once.
@@ -90,15 +92,18 @@ def windows_of(docs: DataFrame, anchors: DataFrame, slack: int, broadcast_anchor
     hashed = docs.select("doc_id", shingles_of(words_of(F.col("text"))).alias("all"))
     # the outer form spares the filter that Spark infers, which would make all shingles once more; its nulls join nothing
     each = F.posexplode_outer("all").alias("at", "anchor")
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(-slack), F.lit(slack)), lambda d: F.greatest(F.lit(0), F.col("at") - F.col("offset") + d)))
     size = F.greatest(F.lit(1), F.col("n_words") - SHINGLE + 1)
+    last = F.greatest(F.lit(0), F.col("length") - size)
+    inside = F.sequence(F.least(last, F.greatest(F.lit(0), F.col("at") - size + 1)), F.least(last, F.col("at")))
+    placed_at = F.transform(F.sequence(F.lit(-slack), F.lit(slack)), lambda d: F.greatest(F.lit(0), F.col("at") - F.col("offset") + d))
+    starts = F.array_union(inside, placed_at)
     if spots.count() <= broadcast_anchors:
-        placed = hashed.select("doc_id", "all", each).join(F.broadcast(spots), "anchor")
+        placed = hashed.select("doc_id", "all", F.size("all").alias("length"), each).join(F.broadcast(spots), "anchor")
         cut = lambda s: F.struct(s.alias("position"), F.slice("all", s + 1, size).alias("sh"))
         windows = placed.select("doc_id", "n_words", F.inline(F.transform(starts, cut)))
     else:
         hashed = save(hashed.withColumn("row", F.monotonically_increasing_id()), "shingles")
-        placed = hashed.select("row", each).join(spots, "anchor").select("row", "n_words", F.explode(starts).alias("position")).distinct()
+        placed = hashed.select("row", F.size("all").alias("length"), each).join(spots, "anchor").select("row", "n_words", F.explode(starts).alias("position")).distinct()
         windows = placed.join(hashed, "row").select("doc_id", "n_words", "position", F.slice("all", F.col("position") + 1, size).alias("sh"))
     return windows.where(F.size("sh") > 0).groupBy("doc_id", "n_words", "position").agg(F.first("sh").alias("sh"))
 
@@ -113,7 +118,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radi
     items = save(items_of(benchmark, similarity), "items")
     anchors = save(anchors_of(items), "anchors")
     windows = save(windows_of(docs, anchors, slack, broadcast_anchors), "windows")
-    distinct = save(windows.select("n_words", "sh").distinct().withColumn("fp", simhash(F.col("sh"))), "contents")
+    contents = save(windows.select("n_words", "sh").distinct().withColumn("content", F.xxhash64("n_words", "sh")), "contents")
+    known = items.select("n_words", F.explode("sh").alias("shingle")).distinct()
+    held = contents.select("n_words", "content", F.explode("sh").alias("shingle")).join(known, ["n_words", "shingle"], "left_semi")
+    least = F.ceil(F.lit(similarity) * F.greatest(F.lit(1), F.col("n_words") - SHINGLE + 1) - 1e-9)
+    enough = held.groupBy("n_words", "content").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("content")
+    distinct = save(contents.join(enough, "content", "left_semi").select("n_words", "sh", simhash(F.col("sh")).alias("fp")), "prints")
     held = distinct.select("n_words", "fp", F.explode("sh").alias("anchor")).join(anchors.select("n_words", "anchor").distinct(), ["n_words", "anchor"], "left_semi")
     left = held.distinct().select("n_words", "anchor", "fp", F.inline(blocks_of(F.col("fp"), radius)))
     right = anchors.select("n_words", "anchor", "item_fp").distinct().select("n_words", "anchor", "item_fp", F.inline(blocks_of(F.col("item_fp"), radius)))

@@ -175,6 +175,22 @@ def test_leaks_as_all_windows(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontam.matches(df, bench, broadcast_anchors=0).collect()} == set(got)
 
 
+def test_leaks_in_another_order(spark):
+    r = random.Random(11)
+    items = [(k, prose(r, 59, 5000)) for k in range(6)]
+    docs = []
+    for k, text in items:
+        w = text.split()
+        docs.append((k, " ".join(prose(r, 70, 5000).split() + w[30:] + w[:30] + prose(r, 70, 5000).split())))
+        docs.append((100 + k, " ".join(w[:-10])))  # shorter than the item: 45 of its 55 shingles
+    want = brute_matches(docs, items)
+    assert set(want) == {(k, k) for k in range(6)} | {(100 + k, k) for k in range(6)}
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    for most in (200_000, 0):
+        got = {(x["doc_id"], x["item_id"]): x["similarity"] for x in decontam.matches(df, bench, broadcast_anchors=most).collect()}
+        assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-9 for x in got)
+
+
 # --- rules by host
 
 
