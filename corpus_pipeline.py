@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringspark.llm import decontam, line_crf, mixing, pii, simhash
+from ringspark.llm import decontam, line_crf, mixing, near_text, pii
 from ringspark.llm.common import save, table
 
 #: A document of a lower score is rejected.
@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates: five-word shingles, a Jaccard similarity of 0.8 or more."""
+    return near_text.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

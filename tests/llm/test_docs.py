@@ -120,6 +120,43 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def brute_near(texts, limit=0.8):
+    """Component numbers by all pairs of shingle sets."""
+    split = [WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in split]
+    comp = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                comp = [comp[j] if c == comp[i] else c for c in comp]
+    return comp
+
+
+@pytest.mark.parametrize("bucket", [32, 2])
+def test_pipeline_keeps_one_near_copy(spark, bucket):
+    import corpus_pipeline
+    from ringspark.llm import near_text
+
+    r = random.Random(5)
+    rows = odd_rows()
+    for k in range(4):
+        base = prose(r, 200).split()
+        for i in range(12):
+            w = list(base)
+            for _ in range(i % 5):
+                w[r.randrange(200)] = f"x{i}"
+            rows.append((100 + 20 * k + i, " ".join(w), "en", "s", 1))
+    rows += [(None, "another text without an id that is not near", "en", "s", 1), (101, prose(r, 50), "en", "s", 1)]
+    docs = frame(spark, rows)
+    comp = brute_near([t for _, t, *_ in rows])
+    want = {}
+    for (i, *_), c in zip(rows, comp, strict=True):
+        want[c] = min(want.get(c, (True, 0)), (i is None, i or 0))
+    kept = near_text.keep_one(docs, bucket=bucket) if bucket < 32 else corpus_pipeline.near_dedup(spark, docs, "")
+    assert sorted((x["doc_id"] is None, x["doc_id"] or 0) for x in kept.collect()) == sorted(want.values())
+    assert kept.columns == docs.columns and near_text.keep_one(docs.limit(0)).count() == 0
+
+
 # --- decontamination
 
 
