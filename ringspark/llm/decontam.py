@@ -105,7 +105,7 @@ def windows_of(docs: DataFrame, anchors: DataFrame, slack: int, broadcast_anchor
         hashed = save(hashed.withColumn("row", F.monotonically_increasing_id()), "shingles")
         placed = hashed.select("row", F.size("all").alias("length"), each).join(spots, "anchor").select("row", "n_words", F.explode(starts).alias("position")).distinct()
         windows = placed.join(hashed, "row").select("doc_id", "n_words", "position", F.slice("all", F.col("position") + 1, size).alias("sh"))
-    return windows.where(F.size("sh") > 0).groupBy("doc_id", "n_words", "position").agg(F.first("sh").alias("sh"))
+    return windows.where(F.size("sh") > 0).distinct()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 19, slack: int = 1, broadcast_anchors: int = 200_000) -> DataFrame:
@@ -138,6 +138,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radi
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the documents that match an item; rows with a null doc_id go if any of them matches."""
-    bad = save(matches(docs, benchmark, **options).select(F.col("doc_id").alias("bad")).distinct(), "leaks")
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.bad), "left_anti")
+    """docs without the rows whose text matches an item, whatever their doc_id."""
+    text = F.xxhash64("text")
+    found = matches(docs.select(text.alias("doc_id"), "text"), benchmark, **options)
+    bad = save(found.select(F.col("doc_id").alias("bad")).distinct(), "leaks")
+    return docs.join(bad, text == bad.bad, "left_anti")

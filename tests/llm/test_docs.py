@@ -228,6 +228,15 @@ def test_leaks_in_another_order(spark):
         assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-9 for x in got)
 
 
+def test_leaks_by_text_not_by_id(spark):
+    r = random.Random(12)
+    item = prose(r, 30, 5000)
+    rows = [(None, prose(r, 40, 5000)), (None, item), (1, prose(r, 40, 5000)), (1, f"{prose(r, 9, 5000)} {item}"), (2, None)]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {x["text"] for x in decontam.clean(df, bench).collect()} == {rows[0][1], rows[2][1], None}
+    assert {x["doc_id"] for x in decontam.matches(df, bench).collect()} == {None, 1}
+
+
 # --- rules by host
 
 
