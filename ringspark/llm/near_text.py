@@ -1,16 +1,20 @@
 """Near copies by the Jaccard similarity of word shingles, for texts as they are in a corpus.
 
-1. Texts of the same set of shingles are one; set signatures (least hashes) are cut into bands, and texts that share a
-   band's value are candidates. At a similarity of 0.8 a pair shares none of 32 bands of four with a chance of 5e-8.
+1. Texts of the same set of shingles are one, and so are those whose SimHash fingerprints are linked (module simhash).
+   Set signatures (least hashes) are cut into bands, and texts that share a band's value are candidates. At a
+   similarity of 0.8 a pair shares none of 32 bands of four with a chance of 5e-8.
 2. The exact similarity decides each candidate pair.
-3. A value that more than `bucket` texts share isn't expanded into pairs: all its texts are compared with one of them.
-   1 - similarity is a metric, so of the others only those that can be near one of the linked ones are compared
-   with these; the rest goes another round.
+3. A value that more than `bucket` texts share isn't expanded into pairs. All its texts are compared with one of them, the
+   one with most such values; what isn't near it gets another leader, `leaders` times. Where all texts of a value are
+   then in one component, nothing is left to ask. Else the texts outside of its largest component (strays) are compared
+   with those of other components that share one of their rarest shingles: two sets of a similarity of 0.8 share one of
+   the n + 1 - ceil(0.8 n) first of each in any common order, so nothing is lost, and passages that many texts share
+   come last in the order. What follows the shared shingle in both bounds what they share, which prunes most pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,20 +22,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ringspark.llm import simhash
 from ringspark.llm.common import save, small_batches
 from ringspark.llm.simhash import components
 
 #: Pairs are near from NUMERATOR / DENOMINATOR on.
 NUMERATOR, DENOMINATOR = 4, 5
+#: Into how many parts the pairs of one leader are dealt.
+SALT = 16
 
 
 def shingles_of(text: str | None, words: int) -> np.ndarray:
     """The sorted set of hashes of all runs of words; only A-Z are lower-cased, words end at ASCII white space."""
-    parts = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not parts:
-        return np.empty(0, dtype=np.uint64)
-    runs = [b" ".join(parts)] if len(parts) < words else map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in runs), dtype=np.uint64))
+    return np.unique(simhash.hashes_of(text, words))
 
 
 def id_of(found: np.ndarray) -> int:
@@ -39,26 +42,26 @@ def id_of(found: np.ndarray) -> int:
 
 
 def signatures(words: int, bands: int, rows: int):
-    """A column function: tid (of the set of shingles), n (its size) and keys (one for each band; none without words)."""
+    """A column function: tid (of the set of shingles), n (its size), fp (SimHash) and keys (one for each band; none without words)."""
     draw = np.random.default_rng(42)
     times = draw.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     plus = draw.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
 
-    @F.pandas_udf("tid long, n int, keys array<long>")
+    @F.pandas_udf("tid long, n int, fp long, keys array<long>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             out = []
             for t in batch:
-                found = shingles_of(t, words)
-                keys = []
+                hashes = simhash.hashes_of(t, words)
+                found, keys = np.unique(hashes), []
                 if len(found):
                     least = np.full(bands * rows, np.iinfo(np.uint64).max, dtype=np.uint64)
                     for i in range(0, len(found), 2048):
                         np.minimum(least, (found[i : i + 2048, None] * times + plus).min(axis=0), out=least)
                     cut = least.reshape(bands, rows)
                     keys = [xxhash.xxh64_intdigest(cut[b].tobytes(), b) - (1 << 63) for b in range(bands)]
-                out.append((id_of(found), len(found), keys))
-            yield pd.DataFrame(out, columns=["tid", "n", "keys"])
+                out.append((id_of(found), len(found), simhash.majority(hashes), keys))
+            yield pd.DataFrame(out, columns=["tid", "n", "fp", "keys"])
 
     return of
 
@@ -72,66 +75,110 @@ def sets_of(words: int):
     return of
 
 
-def judged(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with common, total: the sizes of intersection and union of their sets."""
+def judged(pairs: DataFrame, sets: DataFrame, salt: int = 1) -> DataFrame:
+    """(a, b): the pairs whose sets are near. salt: the pairs of one a are dealt to so many parts, and its set goes to each."""
     left, right = sets.select(F.col("tid").alias("a"), F.col("sh").alias("sa")), sets.select(F.col("tid").alias("b"), F.col("sh").alias("sb"))
-    both = pairs.join(right, "b").join(left, "a")
-    both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return both.withColumn("total", F.size("sa") + F.size("sb") - F.col("common")).drop("sa", "sb")
-
-
-def near() -> Column:
-    return F.col("common") * DENOMINATOR >= F.col("total") * NUMERATOR
-
-
-def pairs_of(member: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs of the texts of each key."""
-    one, other = member.select("key", F.col("tid").alias("a")), member.select("key", F.col("tid").alias("b"))
-    return one.join(other, "key").where("a < b").select("a", "b").distinct()
-
-
-def links(texts: DataFrame, sets, bucket: int = 32, rounds: int = 12) -> DataFrame:
-    """(a, b): links that join all texts (tid, n, keys) that are near into components. sets: (tids) -> tid, sh."""
+    by = ["a"]
+    if salt > 1:
+        pairs, by = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(salt)).cast("int")), ["a", "part"]
+        left = left.join(pairs.select("a").distinct(), "a", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    both = pairs.join(right, "b").join(left, by).withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    return both.where(F.col("common") * DENOMINATOR >= (F.size("sa") + F.size("sb") - F.col("common")) * NUMERATOR).select("a", "b")
+
+
+def fits(a: str, b: str) -> Column:
+    """Sets of these sizes can be near."""
+    return F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR
+
+
+def light_pairs(member: DataFrame) -> DataFrame:
+    """(a, b), a < b: the pairs of texts of each key (key, tid, n) that can be near by their sizes."""
+    one, other = member.select("key", F.col("tid").alias("a"), F.col("n").alias("na")), member.select("key", F.col("tid").alias("b"), F.col("n").alias("nb"))
+    return one.join(other, "key").where((F.col("a") < F.col("b")) & fits("na", "nb")).select("a", "b").distinct()
+
+
+def led(heavy: DataFrame, have: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The near pairs of each key's leader, and the rows (key, tid, n, often) of heavy that are neither leaders nor near theirs."""
+    best = heavy.groupBy("key").agg(F.max(F.struct("often", "tid")).alias("best")).select("key", F.col("best.tid").alias("a"))
+    asked = save(heavy.join(best, "key").where("tid <> a").withColumnRenamed("tid", "b"), "text-led")
+    near = save(judged(asked.select("a", "b").distinct(), have, SALT), "text-near")
+    rest = asked.join(near, ["a", "b"], "left_anti").select("key", F.col("b").alias("tid"), "n", "often")
+    return near, save(rest, "text-rest")
+
+
+def rare_first(texts: DataFrame, have: DataFrame, bucket: int) -> DataFrame:
+    """(tid, n, at, sh): of each text the shingles of which a near one shares one at least, those that few texts have first; at is the place."""
+    each = texts.join(have, "tid").select("tid", "n", F.explode("sh").alias("sh"))
+    common = each.groupBy("sh").agg(F.count("*").alias("many")).where(F.col("many") > bucket)
+    ranked = each.join(common, "sh", "left").groupBy("tid", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("many", F.lit(0)).alias("many"), "sh"))).alias("all"))
+    need = F.col("n") + 1 - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR).cast("int")
+    return ranked.select("tid", "n", F.posexplode(F.slice("all", F.lit(1), need)).alias("at", "x")).select("tid", "n", "at", "x.sh")
+
+
+def stray_links(heavy: DataFrame, have: DataFrame, roots: DataFrame, bucket: int) -> DataFrame | None:
+    """(a, b): near pairs that join texts of heavy keys (key, tid, n) whose components (node, root) differ so far; None if there are none."""
+    at = heavy.join(roots.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    at = save(at.select("key", "tid", "n", "root"), "text-places")
+    counts = at.groupBy("key", "root").agg(F.count("*").alias("many"))
+    main = counts.groupBy("key").agg(F.max(F.struct("many", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("main.root").alias("main"))
+    open_ = save(at.join(main, "key").groupBy("tid", "n", "root").agg(F.bool_or(F.col("root") != F.col("main")).alias("stray")), "text-open")
+    if open_.isEmpty():
+        return None
+    first = save(rare_first(open_.select("tid", "n"), have, bucket).join(open_.select("tid", "root", "stray"), "tid"), "text-first")
+    one = first.where("stray").select("sh", F.col("tid").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("root").alias("ra"))
+    other = first.select("sh", F.col("tid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("root").alias("rb"))
+    # at the first shared shingle no more than what follows it can be shared; a near pair keeps that row
+    left = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    enough = left * (NUMERATOR + DENOMINATOR) >= (F.col("na") + F.col("nb")) * NUMERATOR
+    pairs = one.join(other, "sh").where((F.col("ra") != F.col("rb")) & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return save(judged(save(pairs, "text-asked"), have), "text-strays")
+
+
+def links(texts: DataFrame, sets: Callable[[DataFrame], DataFrame], known: DataFrame | None = None, bucket: int = 32, leaders: int = 2) -> DataFrame:
+    """(a, b): links that join all texts (tid, n, keys) that are near, or linked by `known`, into components. sets: (tids) -> tid, sh."""
     keys = texts.select("tid", "n", F.explode("keys").alias("key"))
     shared = save(keys.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "text-keys")
     member = save(keys.join(shared, "key"), "text-members")
-    light = member.where(F.col("many") <= bucket)
-    one, other = light.select("key", F.col("tid").alias("a"), F.col("n").alias("na")), light.select("key", F.col("tid").alias("b"), F.col("n").alias("nb"))
-    fits = F.least("na", "nb") * DENOMINATOR >= F.greatest("na", "nb") * NUMERATOR
-    pairs = save(one.join(other, "key").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct(), "text-pairs")
-    heavy = save(member.where(F.col("many") > bucket).select("key", "tid"), "text-heavy")
+    pairs = save(light_pairs(member.where(F.col("many") <= bucket)), "text-pairs")
+    heavy = member.where(F.col("many") > bucket)
+    heavy = save(heavy.select("key", "tid", "n").join(heavy.groupBy("tid").agg(F.count("*").alias("often")), "tid"), "text-heavy")
     wanted = pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).union(heavy.select("tid")).distinct()
     have = save(sets(wanted), "text-sets")
-    out = save(judged(pairs, have).where(near()).select("a", "b"), "text-links")
-    for _ in range(rounds):
-        if heavy.isEmpty():
+    out = save(judged(pairs, have), "text-links")
+    if known is not None:
+        out = out.union(known)
+    rest = heavy
+    for _ in range(leaders):
+        if rest.isEmpty():
             return out
-        first = save(heavy.groupBy("key").agg(F.min("tid").alias("a")), "text-first")
-        led = save(heavy.join(first, "key").where("tid <> a").withColumnRenamed("tid", "b"), "text-led")
-        j = save(judged(led.select("a", "b").distinct(), have), "text-judged")
-        found = save(led.join(j, ["a", "b"]).withColumn("near", near()).withColumn("s", F.col("common") / F.col("total")), "text-found")
-        out = out.union(j.where(near()).select("a", "b"))
-        rest = found.where("not near").select("key", "b", "s")
-        # s is 1 - distance, so b and y can be near only if their distances from the first differ by no more than 1 - 4/5
-        reach = 1 - NUMERATOR / DENOMINATOR + 1e-9
-        linked = found.where("near").select("key", F.col("b").alias("y"), F.col("s").alias("sy"))
-        rim = rest.join(linked, "key").where(F.col("sy") - F.col("s") <= reach).select(F.col("b").alias("a"), F.col("y").alias("b")).distinct()
-        out = out.union(save(judged(rim, have).where(near()).select("a", "b"), "text-rim"))
-        heavy = save(rest.select("key", F.col("b").alias("tid")), "text-heavy")
-    return out.union(save(judged(pairs_of(heavy), have).where(near()).select("a", "b"), "text-last"))
-
-
-def keep_one(docs: DataFrame, words: int = 5, bands: int = 32, rows: int = 4, bucket: int = 32) -> DataFrame:
+        near, rest = led(rest, have)
+        out = out.union(near)
+    more = stray_links(heavy, have, components(out), bucket)
+    return out if more is None else out.union(more)
+
+
+def simhash_links(texts: DataFrame, k: int = 2) -> DataFrame:
+    """(a, b): links that join the texts (tid, fp) whose fingerprints are linked within k bits."""
+    prints = save(texts.groupBy("fp").agg(F.min("tid").alias("first")), "text-prints")
+    same = texts.join(prints, "fp").where("tid <> first").select(F.col("first").alias("a"), F.col("tid").alias("b"))
+    of = lambda c: prints.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_"))
+    return same.union(simhash.links(prints.select("fp"), k).join(of("a"), "a").join(of("b"), "b").select(F.col("a_").alias("a"), F.col("b_").alias("b")))
+
+
+def keep_one(docs: DataFrame, words: int = 5, bands: int = 32, rows: int = 4, bucket: int = 32, k: int = 2) -> DataFrame:
     """docs with one row of each component of near texts: that of the smallest doc_id, null last, then by hash of text.
 
-    Near: a Jaccard similarity of 0.8 or more of the sets of shingles. Texts without words are copies of each other.
+    Near: SimHash fingerprints of shingles of `words` words that differ in at most k bits, or a Jaccard similarity of 0.8
+    or more of the sets of shingles. Null texts and those without words are copies of each other. Rows with the same
+    doc_id but other texts are rows of their own; rows alike in both are one. An empty table gives an empty one. Extra
+    columns stay.
     """
     small_batches(docs.sparkSession)
     mark = F.xxhash64("text")
     signed = docs.select("doc_id", mark.alias("mark"), signatures(words, bands, rows)(F.col("text")).alias("s"))
     signed = save(signed.select("doc_id", "mark", "s.*"), "text-signatures")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
-    texts = signed.groupBy("tid").agg(F.min(order).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    texts = signed.groupBy("tid").agg(F.min(order).alias("least"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("keys").alias("keys"))
     texts = save(texts, "texts")
 
     def rows_at(places: DataFrame) -> DataFrame:
@@ -145,7 +192,8 @@ def keep_one(docs: DataFrame, words: int = 5, bands: int = 32, rows: int = 4, bu
         tid = found_id()
         return sh.select(tid("sh").alias("tid"), "sh").dropDuplicates(["tid"])
 
-    joined = components(links(texts, sets, bucket))
+    known = save(simhash_links(texts.select("tid", "fp"), k), "text-known")
+    joined = components(links(texts, sets, known, bucket))
     rooted = texts.join(joined, texts.tid == joined.node, "left").select("least", F.coalesce("root", "tid").alias("root"))
     chosen = save(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.mark"), "text-chosen")
     often = signed.groupBy("doc_id", "mark").agg(F.count("*").alias("many")).withColumnsRenamed({"doc_id": "_d", "mark": "_m"})

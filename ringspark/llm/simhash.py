@@ -8,8 +8,7 @@ longer chains prune what the join brings together, and only then the whole Hammi
 A join key that more than `bucket` fingerprints share is not expanded into pairs. Its fingerprints go another, exact
 way: each is sent to itself and to all values one bit away. Two fingerprints differ in at most two bits just if they
 meet at such a value, and all that meet at one differ in at most two bits, so a star over each meeting point (at most
-w + 1 fingerprints) keeps the components. That way exists for k <= 2 only; for other k heavy keys are split by
-further segments.
+w + 1 fingerprints) keeps the components. That way exists for k <= 2 only, so k may not be larger.
 """
 
 from __future__ import annotations
@@ -27,26 +26,31 @@ from ringspark.llm.common import save, small_batches
 BITS = 64
 
 
-def fingerprint_of(text: str | None, words: int = 3, seed: int = 42, chunk: int = 1 << 16) -> int:
-    """A signed 64-bit fingerprint; a bit is 1 if set in over half the hashes of the shingles, repeats included.
+def hashes_of(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """The unsigned hashes of all shingles of a text, in order, repeats included.
 
     Only A-Z are lower-cased; words end at ASCII white space. Fewer words than a shingle: one shingle of all of them.
-    Null or no words: zero.
+    Null or no words: none.
     """
     parts = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not parts:
-        return 0
+        return np.empty(0, dtype="<u8")
+    shingles = [b" ".join(parts)] if len(parts) < words else map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False))
     digest = xxhash.xxh64_intdigest
-    if len(parts) < words:
-        shingles, n = iter([b" ".join(parts)]), 1
-    else:
-        shingles, n = map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False)), len(parts) - words + 1
+    return np.fromiter((digest(s, seed) for s in shingles), dtype="<u8", count=max(1, len(parts) - words + 1))
+
+
+def majority(hashes: np.ndarray, chunk: int = 1 << 16) -> int:
+    """A signed 64-bit fingerprint; a bit is 1 if set in over half the hashes. Zero for none."""
     ones = np.zeros(BITS, dtype=np.int64)
-    for start in range(0, n, chunk):
-        size = min(chunk, n - start)
-        hashes = np.fromiter((digest(s, seed) for _, s in zip(range(size), shingles, strict=False)), dtype="<u8", count=size)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(size, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+    for start in range(0, len(hashes), chunk):
+        part = np.ascontiguousarray(hashes[start : start + chunk])
+        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def fingerprint_of(text: str | None, words: int = 3, seed: int = 42) -> int:
+    return majority(hashes_of(text, words, seed))
 
 
 def fingerprint(text: Column, words: int = 3, seed: int = 42) -> Column:
@@ -131,26 +135,25 @@ def links(prints: DataFrame, k: int = 2, m: int = 7, bucket: int = 32) -> DataFr
     return light.union(star).distinct()
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of the component of each node that has an edge (a, b) of longs.
 
-    Alternating large-star and small-star steps; every step is a join with one row for each node, so large components
-    need no task that holds them. Each step's table goes to the shared folder.
+    Alternating large-star and small-star steps, until only stars are left: a few steps for most, some log2 of the
+    diameter for chains. Every step is joins with one row for each node, so large components need no task that holds
+    them. Each step's table goes to the shared folder.
     """
     now = save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
-    for _ in range(limit):
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = save(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "low")
-        now = save(both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
-        low = save(now.groupBy("u").agg(F.min("v").alias("m")), "low")
-        down = now.join(low, "u")
-        now = save(down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == seen:
+    while True:
+        count = now.agg(F.count("*"), F.count_distinct("u")).first()
+        # steps keep what is connected, so once each node has one edge and no root has one, each star is a component
+        if count[0] == count[1] and now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        seen = state
-    raise RuntimeError("components did not settle")
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = save(both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = save(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
 
 
 def near_duplicates(docs: DataFrame, k: int = 2, words: int = 3, seed: int = 42) -> DataFrame:
@@ -169,19 +172,3 @@ def near_duplicates(docs: DataFrame, k: int = 2, words: int = 3, seed: int = 42)
     least = save(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     label = save(rooted.join(least, "root").select("fp", "root", "component_id"), "labels")
     return rows.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id.
-
-    Rows that repeat this doc_id, and components without any doc_id, are settled by one more step over those rows alone.
-    """
-    found = save(near_duplicates(docs, **options), "near")
-    unique = found.where("doc_id is not null and doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("root").alias("root"))
-    unique = save(unique, "kept")
-    once = docs.join(unique.where("n = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")  # wide rows are dealt once, never sorted
-    again = docs.join(unique.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    lone = docs.where("doc_id is null").withColumn("_fp", fingerprint(F.col("text"), options.get("words", 3), options.get("seed", 42)))
-    roots = found.where("component_id is null").groupBy("fingerprint").agg(F.min("root").alias("_root"))
-    lone = lone.withColumn("_hex", F.lower(F.lpad(F.hex("_fp"), 16, "0"))).join(roots.withColumnRenamed("fingerprint", "_hex"), "_hex").dropDuplicates(["_root"])
-    return once.select(docs.columns).union(again.select(docs.columns)).union(lone.select(docs.columns))
