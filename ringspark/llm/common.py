@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ringspark.operators.tables import save, shared_dir
 
-__all__ = ["WORD", "held_out", "save", "shared_dir", "small_batches", "table", "uniform"]
+__all__ = ["WORD", "fresh", "held_out", "save", "shared_dir", "small_batches", "table", "uniform"]
 
 #: Bytes of the ASCII white space that separates words, as in [^\x20\x09-\x0D]+.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,6 +21,14 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) ->
             spark.conf.set(key, str(most))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like this one that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
