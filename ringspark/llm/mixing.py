@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringspark.llm.common import WORD, save
+from ringspark.llm.common import WORD, fresh, save
 
 EPS = 1e-9
 
@@ -111,8 +111,8 @@ def mover(names: list[str], seed: int, step: int, last: bool):
 
 
 def sample(docs: DataFrame, seed: int = 0, block: int = 2000) -> DataFrame:
-    """doc_id, source, size, source_size, target (docs) with p, the balanced sample: 0 or 1 for each row."""
-    rows = docs.withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "size"))
+    """docs (doc_id as text, mark, source, size, source_size, target, whole, p) with p, the balanced sample: 0 or 1 for each row."""
+    rows = docs.withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "mark", "size"))
     schema = rows.schema.simpleString()[7:-1]
     names = rows.columns
     done = []
@@ -137,43 +137,53 @@ def sample(docs: DataFrame, seed: int = 0, block: int = 2000) -> DataFrame:
     return out.drop("order")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, seed: int = 0, block: int = 2000) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: one row for each row of docs.
+def drawn(docs: DataFrame, weights: tuple[float, ...], most: float, seed: int, block: int) -> DataFrame:
+    """doc_id, mark (hash of the text), source, size, source_size, target, copies of each row of docs.
 
-    size counts words (null text: 0); target is that of the row's source; copies is how often the mix takes the row, at
-    most `most` rounded up; taken is size * copies. Sources without words have target 0 and no copies; a null source is a
-    source, the last. Rows that repeat are drawn one by one. The same rows give the same mix. An empty table gives an
-    empty one; other columns are ignored.
+    While rows are drawn in tasks, their ids are text: pandas would make long ids beside nulls doubles.
     """
-    rows = save(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "sizes")
+    rows = save(docs.select("doc_id", F.xxhash64("text").alias("mark"), "source", size_of(F.col("text")).alias("size")), "sizes")
     sources = save(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = rows.join(sources.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_")))
-    joined = joined.select("doc_id", "source", "size", "source_size", "target", F.floor(wanted + EPS).cast("long").alias("whole"), wanted.alias("wanted"))
+    joined = joined.select(F.col("doc_id").cast("string").alias("doc_id"), "mark", "source", "size", "source_size", "target", F.floor(wanted + EPS).cast("long").alias("whole"), wanted.alias("wanted"))
     joined = joined.withColumn("p", F.greatest(F.lit(0.0), F.col("wanted") - F.col("whole"))).drop("wanted")
-    drawn = sample(save(joined, "wanted"), seed, block)
     copies = (F.col("whole") + F.round("p").cast("long")).alias("copies")
-    return drawn.select("doc_id", "source", "size", "source_size", "target", copies).withColumn("taken", F.col("size") * F.col("copies"))
+    out = sample(save(joined, "wanted"), seed, block)
+    return out.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "mark", "source", "size", "source_size", "target", copies)
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, seed: int = 0, block: int = 2000) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken: one row for each row of docs.
+
+    size counts words (null text: 0); target is that of the row's source; copies is how often the mix takes the row, at
+    most `most` rounded up; taken is size * copies. Sources without words have target 0 and no copies; a null source is a
+    source, the last. Rows that repeat are drawn one by one, null and repeated doc_ids too. The same rows give the same
+    mix. An empty table gives an empty one; other columns are ignored.
+    """
+    return drawn(docs, weights, most, seed, block).drop("mark").withColumn("taken", F.col("size") * F.col("copies"))
 
 
-def take(docs: DataFrame, **options) -> DataFrame:
+def take(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, seed: int = 0, block: int = 2000) -> DataFrame:
     """docs with the column copy (replaced if there is one): a row for each time that the mix takes a row, from 1.
 
-    Rows that the mix leaves go. Rows alike in doc_id and source whose copies differ get them in any order. The texts are
-    shuffled once, to a hash join with one narrow row for each document, so they are never sorted.
+    Rows that the mix leaves go. A row is known by doc_id, source and a hash of its text; rows alike in all three whose
+    copies differ get them in any order, by a rank among them alone. The texts are shuffled once, to a hash join with one
+    narrow row for each document, so they are never sorted.
     """
-    key = F.xxhash64("doc_id", F.coalesce("source", F.lit("")), F.col("source").isNull())
-    mixed = save(mix(docs, **options).select(key.alias("mix_key"), "copies"), "mixed")
-    plan = save(mixed.groupBy("mix_key").agg(F.min("copies").alias("mix_least"), F.max("copies").alias("mix_copies")).where("mix_copies > 0"), "plan")
+    keyed_by, often, at = (fresh(docs, x) for x in ("mix_key", "mix_copies", "mix_at"))
+    key = lambda mark: F.xxhash64("doc_id", F.col("doc_id").isNull(), F.coalesce("source", F.lit("")), F.col("source").isNull(), mark).alias(keyed_by)
+    mixed = save(drawn(docs, weights, most, seed, block).select(key(F.col("mark")), "copies"), "mixed")
+    plan = save(mixed.groupBy(keyed_by).agg(F.min("copies").alias("least"), F.max("copies").alias("most")).where("most > 0"), "plan")
     names = [c for c in docs.columns if c != "copy"]
-    keyed = docs.select(*names, key.alias("mix_key"))
-    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("copy")
-    alike = plan.where("mix_least = mix_copies").select("mix_key", "mix_copies")
-    out = keyed.join(alike.hint("shuffle_hash"), "mix_key").select(*names, each)
-    odd = plan.where("mix_least < mix_copies").select("mix_key")
+    keyed = docs.select(*names, key(F.xxhash64("text")))
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col(often))).alias("copy")
+    alike = plan.where("least = most").select(keyed_by, F.col("most").alias(often))
+    out = keyed.join(alike.hint("shuffle_hash"), keyed_by).select(*names, each)
+    odd = plan.where("least < most").select(keyed_by)
     if odd.isEmpty():
         return out
-    at = lambda *order: F.row_number().over(Window.partitionBy("mix_key").orderBy(*order)).alias("mix_at")
-    dealt = mixed.join(odd, "mix_key", "left_semi").select("mix_key", F.col("copies").alias("mix_copies"), at(F.desc("copies")))
-    rows = keyed.join(odd, "mix_key", "left_semi").select("*", at("mix_key"))
-    return out.union(rows.join(dealt.where("mix_copies > 0"), ["mix_key", "mix_at"]).select(*names, each))
+    rank = lambda *order: F.row_number().over(Window.partitionBy(keyed_by).orderBy(*order)).alias(at)
+    dealt = mixed.join(odd, keyed_by, "left_semi").select(keyed_by, F.col("copies").alias(often), rank(F.desc("copies")))
+    rows = keyed.join(odd, keyed_by, "left_semi").select("*", rank(keyed_by))
+    return out.union(rows.join(dealt.where(F.col(often) > 0), [keyed_by, at]).select(*names, each))

@@ -545,6 +545,22 @@ def test_mixture(spark):
     assert rows_out == collections.Counter({k: v for k, v in plan.items() if v})
 
 
+def test_mixture_keeps_ids_and_rows(spark):
+    """Ids that a double can't hold beside null ones, and ids that repeat: each row is taken as often as the mix says."""
+    r = random.Random(9)
+    rows = [((1 << 60) + i, prose(r, 20 + i), "en", "a", 1) for i in range(40)] + [(None, prose(r, 30 + i % 3), "en", "a", 1) for i in range(20)]
+    rows += [(7, prose(r, 25), "en", "b", 1) for _ in range(30)] + [(8, "the same text", "en", "a", 1)] * 9 + [(None, None, None, None, None)] * 3
+    docs = frame(spark, rows).withColumns({"mix_key": F.lit(1), "mix_copies": F.lit(2), "mark": F.lit(3), "copy": F.lit(4)})
+    got = mixing.mix(docs, block=10).collect()
+    assert collections.Counter(g["doc_id"] for g in got) == collections.Counter(i for i, *_ in rows)
+    out = mixing.take(docs, block=10)
+    assert sorted(out.columns) == sorted(docs.columns)
+    taken = out.collect()
+    assert len(taken) == sum(g["copies"] for g in got)
+    assert collections.Counter(t["doc_id"] for t in taken) == collections.Counter(i for g in got for i in [g["doc_id"]] * g["copies"])
+    assert {(t["doc_id"], t["text"]) for t in taken} <= {(i, t) for i, t, *_ in rows}
+
+
 def test_flight_keeps_the_totals():
     r = random.Random(8)
     for _ in range(50):
