@@ -1,6 +1,6 @@
 """Benchmark decontamination with SimHash over item-sized windows; built-in functions only.
 
-Words are runs of letters and digits, lower-cased. A benchmark item of n words is looked for in windows of n words. A
+Words are runs of letters, digits and combining marks, lower-cased. A benchmark item of n words is looked for in windows of n words. A
 window and an item match if the weighted Jaccard similarity of their five-word shingles (weight: how often a shingle
 occurs) is at least 0.8.
 
@@ -15,10 +15,15 @@ occurs) is at least 0.8.
    by block finds all pairs within the radius; the Hamming distance then decides. Blocks are narrow, so the key has an
    anchor of the item in it too, which a match can't lack: windows don't meet all items of their size.
 4. The exact weighted similarity of window and item verifies each candidate.
+
+An item of fewer than five words is one shingle. It is found where its words stand in a row in a text, from `shortest`
+words on; still shorter ones, which any text may hold by chance, only where they are all of the text.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +38,7 @@ def let(value: Column, body) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\p{M}]+"), lambda w: w != "")
 
 
 def shingles_of(words: Column, size: int = SHINGLE) -> Column:
@@ -108,7 +113,28 @@ def windows_of(docs: DataFrame, anchors: DataFrame, slack: int, broadcast_anchor
     return windows.where(F.size("sh") > 0).distinct()
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 19, slack: int = 1, broadcast_anchors: int = 200_000) -> DataFrame:
+def runs_of(words: Column, n: int) -> Column:
+    """Hashes of all runs of n words, as shingles_of makes them of a text of n words."""
+
+    def runs(h: Column) -> Column:
+        chain = lambda i: functools.reduce(lambda x, j: F.xxhash64(x, F.get(h, i + j)), range(n), F.lit(0).cast("long"))
+        return F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: chain(i))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), runs)
+
+
+def short_matches(docs: DataFrame, items: DataFrame, shortest: int) -> list[DataFrame]:
+    """doc_id, item_id, similarity, position: where items of fewer words than a shingle stand in texts; a table for each size."""
+    sizes = [r[0] for r in items.where((F.col("n_words") >= shortest) & (F.col("n_words") < SHINGLE)).select("n_words").distinct().collect()]  # four at most
+    out = []
+    for n in sizes:
+        each = docs.select("doc_id", F.posexplode(runs_of(words_of(F.col("text")), n)).alias("position", "run"))
+        own = items.where(F.col("n_words") == n).select("item_id", F.col("sh")[0].alias("run"))
+        out.append(each.join(own, "run").select("doc_id", "item_id", F.lit(1.0).alias("similarity"), "position"))
+    return out
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 19, slack: int = 1, broadcast_anchors: int = 200_000, shortest: int = 3) -> DataFrame:
     """doc_id, item_id, position (of the window's first word), similarity: the best window of each document and item.
 
     Equal similarities: the first position. Null and empty texts and items match nothing; items that repeat count once;
@@ -132,13 +158,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radi
     index = items.select("item_id", "n_words", "item_fp", F.col("sh").alias("item_sh"))
     verified = distinct.join(near, ["n_words", "fp"]).join(index, ["n_words", "item_fp"])
     verified = verified.select("n_words", "sh", "item_id", weighted_jaccard(F.col("sh"), F.col("item_sh")).alias("similarity")).where(F.col("similarity") >= similarity)
-    found = windows.join(save(verified, "verified"), ["n_words", "sh"])
+    found = windows.join(save(verified, "verified"), ["n_words", "sh"]).select("doc_id", "item_id", "similarity", "position")
+    for more in short_matches(docs, items, shortest):
+        found = found.union(more)
     best = F.max_by(F.struct("similarity", "position"), F.struct("similarity", -F.col("position")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", F.col("best.position").alias("position"), F.col("best.similarity").alias("similarity"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the rows whose text matches an item, whatever their doc_id."""
+    """docs without the rows whose text matches an item, whatever their doc_id. Extra columns stay."""
     text = F.xxhash64("text")
     found = matches(docs.select(text.alias("doc_id"), "text"), benchmark, **options)
     bad = save(found.select(F.col("doc_id").alias("bad")).distinct(), "leaks")
