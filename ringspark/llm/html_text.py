@@ -1,12 +1,20 @@
 """Layout-aware HTML text: a small tree builder with implied tags, visibility rules, and a renderer.
 
 The renderer emits all visible text: blocks stand on lines of their own, paragraphs, headings and lists with an empty line
-around them, list items with their mark and indent, table rows with cells in aligned columns, preformatted text as it is.
+around them, list items with their mark and indent, table rows with cells in aligned columns (spans included),
+preformatted text as it is. What a browser shows is visible: also text of SVG and MathML, options, what is hidden from
+screen readers only, and visible parts of invisible elements.
+
+Pages of any length and depth take time and space in proportion: open elements are found by name, cells are padded up to
+ALIGN columns of text (wider ones push the rest of their row), and lists, quotes and tables within more than DEEP others
+are plain blocks. At most SPANS cells that span rows are open at once in a table; further ones count as one row high.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -21,10 +29,10 @@ from ringspark.llm.common import small_batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes template noscript".split())
 TEXT_ONLY = frozenset("textarea title".split())
-HIDDEN = frozenset("script style template noscript head title iframe noembed noframes object svg math audio video canvas datalist select".split())
-BLOCK = frozenset("address article aside body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table caption thead tbody tfoot tr td th ul menu blockquote".split())
+HIDDEN = frozenset("script style template noscript head title iframe noembed noframes object audio video canvas datalist desc metadata defs annotation annotation-xml".split())
+BLOCK = frozenset("address article aside body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol optgroup option p pre section summary table caption thead tbody tfoot tr td th ul menu blockquote".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl table pre blockquote figure hr".split())
-CLOSE_P = BLOCK - frozenset("html body td th tr thead tbody tfoot caption dd dt li legend summary".split()) | {"dl"}
+CLOSE_P = BLOCK - frozenset("html body td th tr thead tbody tfoot caption dd dt li legend summary optgroup option".split()) | {"dl"}
 # An opening tag closes these open ones, looked for down to a tag of the second set.
 CLOSES = {
     "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu"})),
@@ -43,15 +51,19 @@ HEAD_ONLY = frozenset("base link meta title style script noscript template".spli
 
 TAG = re.compile(r"<(?:!--(.*?)(?:--!?>|\Z)|([!?])[^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+NO_DISPLAY = re.compile(r"(?:^|[;{\s])display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|[;{\s])visibility\s*:\s*(visible|hidden|collapse)", re.I)
+NUMBER = re.compile(r"\s*(\d{1,5})")
+ALIGN, DEEP, SPANS = 40, 50, 1000
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW | TEXT_ONLY}
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("children", "name", "start")
+    __slots__ = ("children", "columns", "name", "rows", "shown", "start")
 
-    def __init__(self, name: str, start: int | None = None):
-        self.name, self.start, self.children = name, start, []
+    def __init__(self, name: str, start: int | None = None, shown: bool = True, columns: int = 1, rows: int = 1):
+        self.name, self.start, self.shown, self.columns, self.rows, self.children = name, start, shown, columns, rows, []
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -59,22 +71,49 @@ def attributes(text: str) -> dict[str, str]:
 
 
 def hidden(name: str, own: dict[str, str]) -> bool:
-    if name in HIDDEN or "hidden" in own and own["hidden"].lower() != "until-found" or own.get("aria-hidden", "").lower() == "true":
+    """Whether an element and all in it are not displayed."""
+    if name in HIDDEN or "hidden" in own and own["hidden"].lower() != "until-found":
         return True
-    return bool("style" in own and INVISIBLE.search(own["style"])) or name == "dialog" and "open" not in own
+    return bool("style" in own and NO_DISPLAY.search(own["style"])) or name == "dialog" and "open" not in own
+
+
+def shown(own: dict[str, str], above: bool) -> bool:
+    """Whether an element's own text is visible: what it says of its visibility, else as above."""
+    found = VISIBILITY.search(own["style"]) if "style" in own else None
+    return found[1].lower() == "visible" if found else above
+
+
+class Open:
+    """The open elements, and the places of each name among them."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {root.name: [0]}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, n: int) -> None:
+        while len(self.stack) > n:
+            self.places[self.stack.pop().name].pop()
+
+    def last(self, names) -> int:
+        """The place of the innermost open element of these names; 0 if there is none (the root is never closed)."""
+        return max((p[-1] for name in names if (p := self.places.get(name))), default=0)
+
+
+CELLS, P_ENDS = ("td", "th", "table"), ("td", "th", "table", "li", "button")
 
 
 def tree(source: str) -> Node:
     """The tree of the visible parts: text (str) and Nodes. Hidden elements are parsed, then dropped."""
     root = Node("html")
-    stack = [root]
+    opened = Open(root)
+    stack = opened.stack
     at = 0
 
-    def close(n: int) -> None:
-        del stack[n:]
-
     def text(s: str) -> None:
-        if s:
+        if s and stack[-1].shown:
             stack[-1].children.append(html.unescape(s) if "&" in s else s)
 
     for m in TAG.finditer(source):
@@ -87,50 +126,39 @@ def tree(source: str) -> Node:
             continue
         name = name.lower()
         if m[3]:
-            if name == "p" and not any(x.name == "p" for x in stack):
+            if name == "p" and not opened.last(("p",)):
                 stack[-1].children.append(Node("p"))
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    close(i)
-                    break
-                if stack[i].name in ("td", "th", "table") and name not in BLOCK:
-                    break
+            found = opened.last((name,))
+            if found and (name in BLOCK or found >= opened.last(CELLS)):
+                opened.close(found)
             continue
         if name in ("html", "body"):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == "head":
-                    close(i)
-                    break
+            if found := opened.last(("head",)):
+                opened.close(found)
             continue
         if name not in HEAD_ONLY and len(stack) > 1 and stack[-1].name == "head":
-            stack.pop()
+            opened.close(len(stack) - 1)
         if name in CLOSES:
             closed, until = CLOSES[name]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name in until:
-                    break
-                if stack[i].name in closed:
-                    close(i)
-                    if name not in ("tr", "tbody", "thead", "tfoot"):
-                        break
-        if name in CLOSE_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == "p":
-                    close(i)
-                    break
-                if stack[i].name in ("td", "th", "table", "li", "button"):
+            while (found := opened.last(closed)) > opened.last(until):
+                opened.close(found)
+                if name not in ("tr", "tbody", "thead", "tfoot"):
                     break
+        if name in CLOSE_P and (found := opened.last(("p",))) > opened.last(P_ENDS):
+            opened.close(found)
         own = attributes(m[5])
+        visible = shown(own, stack[-1].shown)
         if name in ("td", "th") and not any(x.name == "tr" for x in stack[-2:]):
-            row = Node("tr")
+            row = Node("tr", shown=stack[-1].shown)
             stack[-1].children.append(row)
-            stack.append(row)
-        node = Node(name, int(own["start"]) if name == "ol" and re.fullmatch(r"-?\d{1,9}", own.get("start", "")) else None)
+            opened.push(row)
+        span = lambda key: max(1, int(n[1])) if (n := NUMBER.match(own.get(key, ""))) else 1  # noqa: B023, E731
+        node = Node(name, int(own["start"]) if name == "ol" and re.fullmatch(r"-?\d{1,9}", own.get("start", "")) else None, visible, min(span("colspan"), 1000), span("rowspan"))
         if name in RAW or name in TEXT_ONLY:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(source, at)
+            end = RAW_END[name].search(source, at)
             inner = source[at : end.start() if end else len(source)]
             at = end.end() if end else len(source)
-            if not hidden(name, own) and name in TEXT_ONLY:
+            if not hidden(name, own) and visible and name in TEXT_ONLY:
                 node.children.append(html.unescape(inner))
                 stack[-1].children.append(node)
             continue
@@ -138,15 +166,15 @@ def tree(source: str) -> Node:
             if not hidden(name, own):
                 stack[-1].children.append(node)
             continue
-        if name == "img" and own.get("alt") and not hidden(name, own):
+        if name == "img" and own.get("alt") and visible and not hidden(name, own):
             stack[-1].children.append(own["alt"])
-        if name == "input" and own.get("type", "text").lower() in ("submit", "button", "reset") and own.get("value") and not hidden(name, own):
+        if name == "input" and own.get("type", "text").lower() in ("submit", "button", "reset") and own.get("value") and visible and not hidden(name, own):
             stack[-1].children.append(own["value"])
         if name in VOID:
             continue
         if not hidden(name, own):
             stack[-1].children.append(node)
-        stack.append(node)  # a hidden one has no parent, so what it holds is dropped with it
+        opened.push(node)  # a hidden one has no parent, so what it holds is dropped with it
     text(source[at:])
     return root
 
@@ -217,32 +245,70 @@ def _wrap(x) -> Node:
     return node
 
 
-def table_lines(rows: list[tuple[str, list[list[str]]]]) -> list[str]:
-    """Lines of a table: cells of a column start at the same place; a cell of several lines takes several lines."""
-    widths: list[int] = []
+def placed(rows: list[tuple[str, list]]) -> list[tuple[str, list]]:
+    """rows (kind, cells) with cells (lines, columns, rows) made (column, columns, lines), past the cells that span down from above."""
+    out, down = [], []  # down: [first column, past the last, rows left]
     for kind, cells in rows:
+        if kind != "tr":
+            out.append((kind, cells))
+            continue
+        down.sort()
+        at, i, new, own = 0, 0, [], []
+        for lines, columns, high in cells:
+            while i < len(down) and down[i][0] < at + columns:
+                at, i = max(at, down[i][1]), i + 1
+            own.append((at, columns, lines))
+            if high > 1 and len(down) + len(new) < SPANS:
+                new.append([at, at + columns, high])
+            at += columns
+        down = [[a, b, n - 1] for a, b, n in down + new if n > 1]
+        out.append((kind, own))
+    return out
+
+
+def table_lines(rows: list[tuple[str, list]]) -> list[str]:
+    """Lines of a table: cells of a column start at the same place; a cell of several lines takes several lines.
+
+    Only columns in which a cell starts count. Columns are as wide as their widest cell of one column, ALIGN at most.
+    """
+    rows = placed(rows)
+    number = {c: k for k, c in enumerate(sorted({at for kind, cells in rows if kind == "tr" for at, _, _ in cells}))}
+    firsts = list(number)
+    widths = [0] * len(number)
+    spans = []
+    for kind, cells in rows:
+        own = []
         if kind == "tr":
-            for i, cell in enumerate(cells):
-                w = max(map(width, cell), default=0)
-                if i < len(widths):
-                    widths[i] = max(widths[i], w)
-                else:
-                    widths.append(w)
+            for at, columns, lines in cells:
+                k = number[at]
+                past = bisect.bisect_left(firsts, at + columns, k + 1)
+                own.append((k, past, lines))
+                if past == k + 1:
+                    widths[k] = min(ALIGN, max(widths[k], max(map(width, lines), default=0)))
+        spans.append(own)
+    begin = list(itertools.accumulate((w + 2 for w in widths), initial=0))
     out = []
-    for kind, cells in rows:
+    for (kind, cells), own in zip(rows, spans, strict=True):
         if kind != "tr":
             out += cells[0]
             continue
-        for k in range(max(map(len, cells), default=0)):
-            parts = [(c[k] if k < len(c) else "") for c in cells]
-            out.append("  ".join(p + " " * (widths[i] - width(p)) for i, p in enumerate(parts)).rstrip())
+        for j in range(max((len(lines) for _, _, lines in own), default=0)):
+            parts, pushed, last = [], 0, 0  # pushed: what wide cells take beyond their columns
+            for k, _, lines in own:
+                if j < len(lines) and lines[j]:
+                    gap = begin[k] + pushed - last
+                    if gap < 2 and parts:
+                        pushed, gap = pushed + 2 - gap, 2
+                    parts.append(" " * gap + lines[j])
+                    last = begin[k] + pushed + width(lines[j])
+            out.append("".join(parts).rstrip())
     return out
 
 
 def render(root: Node) -> list[str]:
     """All lines of a tree. Depth is kept on a list of generators, not on Python's stack."""
 
-    def inner(node: Node, out: Lines):
+    def inner(node: Node, out: Lines, deep: int = 0):
         number = node.start if node.start is not None else 1
         for x in node.children:
             if isinstance(x, str):
@@ -262,7 +328,7 @@ def render(root: Node) -> list[str]:
                 flat(x, text)
                 body = "".join(text).replace("\r\n", "\n")
                 out.lines([s.rstrip() for s in body.removeprefix("\n").rstrip("\n").split("\n")] if body.strip() else [], True)
-            elif x.name == "table":
+            elif x.name == "table" and deep < DEEP:
                 rows = []
                 for row in rows_of(x):
                     if row.name == "tr":
@@ -271,36 +337,37 @@ def render(root: Node) -> list[str]:
                             if isinstance(cell, str) and not cell.strip():
                                 continue
                             own = Lines()
-                            yield (_wrap(cell) if isinstance(cell, str) else cell), own
+                            cell = _wrap(cell) if isinstance(cell, str) else cell
+                            yield cell, own, deep + 1
                             own.end()
-                            cells.append(own.done)
+                            cells.append((own.done, cell.columns, cell.rows))
                         rows.append(("tr", cells))
                     else:
                         own = Lines()
-                        yield row, own
+                        yield row, own, deep + 1
                         own.end()
                         rows.append(("", [own.done]))
                 out.lines(table_lines(rows), True)
-            elif x.name == "li":
+            elif x.name == "li" and deep < DEEP:
                 own = Lines()
-                yield x, own
+                yield x, own, deep + 1
                 own.end()
                 mark = f"{number}. " if node.name == "ol" else "- "
                 number += 1
                 pad = " " * len(mark)
                 out.lines([(mark if i == 0 else pad if s else "") + s for i, s in enumerate(own.done)])
-            elif x.name in ("dd", "blockquote"):
+            elif x.name in ("dd", "blockquote") and deep < DEEP:
                 own = Lines()
-                yield x, own
+                yield x, own, deep + 1
                 own.end()
                 out.lines(["  " + s if s else "" for s in own.done], x.name == "blockquote")
             elif x.name in BLOCK:
                 nested = x.name in ("ul", "ol", "menu") and node.name == "li"
                 out.end(x.name in SPACED and not nested)
-                yield x, out
+                yield x, out, deep
                 out.end(x.name in SPACED and not nested)
             else:
-                yield x, out
+                yield x, out, deep
 
     def flat(node: Node, text: list[str]) -> None:
         todo = [node]
@@ -339,6 +406,9 @@ def visible_text(page: Column) -> Column:
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
-    """pages with the column text (replaced if there is one) for each row; null and empty pages give an empty text."""
+    """pages with the column text (replaced if there is one) for each row; null and empty pages give an empty text.
+
+    Repeated rows give repeated rows, an empty table an empty one; other columns stay.
+    """
     small_batches(pages.sparkSession)
     return pages.withColumn("text", visible_text(F.col(column)))

@@ -6,6 +6,7 @@ import io
 import json
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,6 +146,13 @@ PAGES = [
     ("<img alt='pic'> <input type=submit value=Go><input value=no><textarea>a\n b</textarea>", "pic Go\na\n b"),
     ("<div hidden><p>a</div>b<p>c</p></p>d", "b\n\nc\n\nd"),
     ("<a href='x>y' title=\"<p>\">link</a> 1 < 2 <3 </ x>", "link 1 < 2 <3 </ x>"),
+    ("<span aria-hidden=true>a</span> <svg><title>t</title><text>b</text></svg> <math><mi>c</mi></math>", "a b c"),
+    ("<div style='visibility:hidden'>a<b style='visibility: visible'>b</b>c</div>d", "b\nd"),
+    ("x<select><option>one<option>two</select>y", "x\none\ntwo\ny"),
+    ("<table><tr><td colspan=2>two<td>c<tr><td>aa<td>bb<td>d</table>", "two     c\naa  bb  d"),
+    ("<table><tr><td colspan=2>far wider<td>c<tr><td>a<td>b<td>d</table>", "far wider  c\na  b  d"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><tr><td colspan=900>h<tr><td>a<td>b</table>", "h\na  b"),
     ("", ""), (None, ""), ("   \n ", ""), ("<p", ""), ("<!doctype html>", ""), ("<script>never closed", ""),
 ]
 
@@ -152,6 +160,17 @@ PAGES = [
 def test_deep_and_long_pages():
     assert html_text.text_of("<div>" * 20000 + "x" + "</div>" * 20000) == "x"
     assert html_text.text_of("<ul><li>" * 300 + "x").strip().endswith("x")
+    began = time.process_time()
+    for tag in ("div", "ul><li", "blockquote", "table><tr><td", "p", "b", "dl><dd", "select><option"):
+        deep = "".join(f"<{tag}>{i} " for i in range(20000))
+        assert html_text.text_of(deep).split()[-1] == "19999" and html_text.text_of(f"<{tag}>" * 100_000 + "x").endswith("x")
+    table = "<table>" + "<tr><td>a<td>b" * 1000 + f"<tr><td>{'w' * 20_000}<td rowspan=60000 colspan=1000>c</table>"
+    assert len(html_text.text_of(table)) < 100_000
+    assert len(html_text.text_of("<table><tr>" + "<td rowspan=9 colspan=999>x" * 5000 + "<tr><td>y" * 5000)) < 2_000_000
+    assert html_text.text_of("<td>" + "<div>" * 20000 + "</span><span>" * 20000 + "x").endswith("x")
+    big = "<p>some words &amp; more <b>bold</b> " * 250_000
+    assert html_text.text_of(big).count("bold") == 250_000
+    assert time.process_time() - began < 240
     words = " ".join(f"w{i}" for i in range(50000))
     assert html_text.text_of(f"<p>{words}</p>" + "<" * 2000) .startswith(words)
 
