@@ -7,58 +7,80 @@ backward passes) on word counts of a bounded sample of documents.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
-from collections import Counter
+import unicodedata
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringspark.llm.common import held_out, small_batches, uniform
+from ringspark.llm.common import fresh, held_out, small_batches, uniform
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 #: The probability of a character that no piece covers, alike in all languages.
 RARE = 1e-7
 TINY = 1e-150
 
 
+@functools.cache
+def letters() -> re.Pattern:
+    """Runs of letters, each with the combining marks that follow it; numbers such as fractions are no letters."""
+
+    def ranges(kinds: str) -> str:
+        out, begin = [], None
+        for code in range(0x32400):
+            own = unicodedata.category(chr(code))[0] in kinds
+            if own and begin is None:
+                begin = code
+            elif not own and begin is not None:
+                out.append(f"\\U{begin:08x}-\\U{code - 1:08x}")
+                begin = None
+        return "".join(out)
+
+    return re.compile(f"[{ranges('L')}][{ranges('LM')}]*")
+
+
 def vocabulary(path: str) -> list[str]:
     """The lower-case pieces of a public sentencepiece vocabulary that letters and word starts can spell."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in found if p.strip(MARK) and LETTERS.fullmatch(p.lstrip(MARK)) and MARK not in p[1:])
+    return sorted(p for p in found if p.strip(MARK) and letters().fullmatch(p.lstrip(MARK)) and MARK not in p[1:])
 
 
 def words_of(text: str | None) -> Counter:
-    return Counter(LETTERS.findall(text.lower())) if text else Counter()
+    return Counter(letters().findall(text.lower())) if text else Counter()
+
 
+def forward(word: str, pieces: dict[str, np.ndarray | float], longest: int, zero, one) -> tuple:
+    """The sum over all cuts of a marked word and the logarithm of the scale taken out of it.
 
-def forward(word: str, pieces: dict[str, np.ndarray | float], longest: int, zero, one):
-    """All prefix sums of a marked word and the logarithm of the scale taken out of each, one entry a position."""
-    sums, logs = [one], [0.0]
+    Only the last `longest` prefix sums are kept, so a word of any length takes the same memory.
+    """
+    sums, logs = deque([one], longest), deque([0.0], longest)
     for end in range(1, len(word) + 1):
         total, log = zero, logs[-1]
         known = False
-        for begin in range(max(0, end - longest), end):
-            p = pieces.get(word[begin:end])
+        for back in range(len(sums), 0, -1):
+            p = pieces.get(word[end - back : end])
             if p is not None:
-                known = known or begin == end - 1
-                total = total + sums[begin] * p * (1.0 if logs[begin] == log else math.exp(logs[begin] - log))
+                known = known or back == 1
+                total = total + sums[-back] * p * (1.0 if logs[-back] == log else math.exp(logs[-back] - log))
         if not known:
-            total = total + sums[end - 1] * RARE
+            total = total + sums[-1] * RARE
         top = total if isinstance(total, float) else max(total)
         if top < TINY:
             total, log = total / top, log + math.log(top)
         sums.append(total)
         logs.append(log)
-    return sums, logs
+    return sums[-1], logs[-1]
 
 
 def fit(counts: dict[str, int], pieces: list[str], rounds: int = 3, smooth: float = 0.05) -> dict[str, float]:
@@ -99,18 +121,18 @@ def fit(counts: dict[str, int], pieces: list[str], rounds: int = 3, smooth: floa
     return {k: v for k, v in p.items() if k is not None}
 
 
-def train(docs: DataFrame, path: str = VOCABULARY, per_language: int = 600, longest_word: int = 30) -> dict:
+def train(docs: DataFrame, path: str = VOCABULARY, per_language: int = 600, longest_word: int = 30, languages: int = 100, words: int = 100_000) -> dict:
     """A model from text and lang of the rows whose crc32(doc_id) mod 4 is not 2.
 
-    Fitted on a sample: about per_language documents of each language, those with the smallest hash of doc_id; words of over
-    longest_word letters are left out of the fit (scoring takes all words).
+    Fitted on a sample: the `languages` values of lang that most rows have (equal ones: by code point), about per_language
+    documents of each, those with the smallest hash of doc_id, and of them the `words` words that come most often; words
+    of over longest_word letters are left out of the fit (scoring takes all words). Null texts and langs teach nothing.
     """
     spark = docs.sparkSession
     small_batches(spark)
     usable = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out("doc_id", 4, 2))
-    share = usable.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
-    if share.count() > 10_000:
-        raise ValueError("lang has too many values for a language")
+    share = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    share = share.select("lang", (F.lit(float(per_language)) / F.col("n")).alias("share"))
     chosen = usable.select("doc_id", "lang", "text").join(F.broadcast(share), "lang").where(uniform(F.col("doc_id")) < F.col("share"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,10 +144,12 @@ def train(docs: DataFrame, path: str = VOCABULARY, per_language: int = 600, long
                 yield pd.DataFrame({"lang": lang, "word": list(c), "n": list(c.values())})
 
     counts = chosen.select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    often = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    counts = counts.where(F.length("word") <= longest_word).withColumn("at", often).where(F.col("at") <= words)
     pieces = spark.sparkContext.broadcast(vocabulary(path))
 
     def fit_one(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        p = fit({w: n for w, n in zip(b["word"], b["n"], strict=True) if len(w) <= longest_word}, pieces.value)
+        p = fit(dict(zip(b["word"], b["n"], strict=True)), pieces.value)
         return pd.DataFrame({"lang": key[0], "piece": list(p), "p": list(p.values())})
 
     rows = counts.groupBy("lang").applyInPandas(fit_one, "lang string, piece string, p double").toPandas()
@@ -152,7 +176,7 @@ class Scorer:
         n, size = len(words[0]), len(self.langs)
         if n > 32:  # the plain product could underflow
             one = [forward(w, self.pieces, self.longest, np.zeros(size), np.ones(size)) for w in words]
-            return np.array([np.log(np.maximum(sums[-1], 1e-300)) + logs[-1] for sums, logs in one])
+            return np.array([np.log(np.maximum(total, 1e-300)) + log for total, log in one])
         sums, get = [np.ones((len(words), size))], self.number.get
         for end in range(1, n + 1):
             total = np.zeros((len(words), size))
@@ -195,9 +219,11 @@ class Scorer:
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """docs with held_out, lang_pred and score (the posterior under equal priors) added; columns of these names are replaced.
 
-    `und` with score 0 if the text is null or has no letter. Equal scores: the language first by code point.
+    `und` with score 0 if the text is null or has no letter. Equal scores: the language first by code point. Texts of any
+    length are read whole; rows that repeat, and null doc_ids, are rows like others. An empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
+    found = fresh(docs, "found")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -206,5 +232,5 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
         for batch in texts:
             yield pd.DataFrame(scorer.texts(batch.tolist()), columns=["lang_pred", "score"])
 
-    out = docs.withColumn("held_out", held_out("doc_id", 4, 2)).withColumn("_found", predict("text"))
-    return out.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+    out = docs.withColumn("held_out", held_out("doc_id", 4, 2)).withColumn(found, predict("text"))
+    return out.withColumns({"lang_pred": F.col(f"{found}.lang_pred"), "score": F.col(f"{found}.score")}).drop(found)
