@@ -131,10 +131,12 @@ def score_texts(model: dict, texts: list[str | None]) -> np.ndarray:
     return np.clip(np.add.reduceat(marginal * weight, edges) / np.add.reduceat(weight, edges), 0, 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 3000) -> dict | None:
+def train(docs: DataFrame, labels: DataFrame, most: int = 3000, lines: int = 200) -> dict | None:
     """Fits on the `most` labelled rows that come first by a hash of doc_id, none of them held out (crc32 mod 5 is 0).
 
-    None if there is no labelled document. A doc_id with several labels counts as the smallest.
+    Of a document of more than `lines` lines, so many in its middle are taken, so what comes to the driver is bounded by
+    most * lines rows of features. None if there is no labelled document. A doc_id with several labels counts as the
+    smallest; one with several texts is that whose hash is the smallest. Null texts are one empty line.
     """
     spark = docs.sparkSession
     known = labels.where("quality is not null and doc_id is not null").where(~held_out("doc_id", 5, 0)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -144,13 +146,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000) -> dict | None:
         for b in batches:
             if len(b):
                 x, n, _ = features(b["text"].tolist())
-                at = np.cumsum(n) - n
+                at = np.cumsum(n) - n + np.maximum(n - lines, 0) // 2
+                n = np.minimum(n, lines)
                 yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "x": [x[i : i + k].astype("float32").tobytes() for i, k in zip(at, n, strict=True)]})
 
     small_batches(spark)
-    text = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    text = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `most` rows
+    text = text.groupBy("doc_id", "quality").agg(F.min_by(F.struct("text"), F.struct(F.xxhash64("text"), "text")).alias("t")).select("doc_id", "quality", "t.text")
     rows = text.mapInPandas(extract, "doc_id long, quality int, x binary").toPandas().sort_values("doc_id", kind="stable")
-    rows = rows.drop_duplicates("doc_id")
     if rows.empty:
         return None
     parts = [np.frombuffer(v, "float32").reshape(-1, WIDTH) for v in rows["x"]]
@@ -174,7 +177,7 @@ def scorer(spark: SparkSession, model: dict | None):
 def classify(docs: DataFrame, model: dict | None, threshold: float = 0.3) -> DataFrame:
     """docs with held_out, score and predicted added (columns of these names are replaced). Null and empty texts are one empty line.
 
-    Without a model all scores are 0.5. An empty table gives an empty one.
+    Texts of any length are read whole; rows that repeat, and null doc_ids, are rows like others. Without a model all scores are 0.5. An empty table gives an empty one.
     """
     score = scorer(docs.sparkSession, model)
     out = docs.withColumn("held_out", held_out("doc_id", 5, 0)).withColumn("score", score("text"))
