@@ -2,7 +2,8 @@
 
 Archives are files in a folder that all executors share (any URI that pyarrow.fs opens). A task writes to a name of its own
 and renames at the end, so a task that runs twice leaves one whole file. The reader goes through a file in pieces:
-incremental zlib decompression, a member a record, framing by Content-Length, and both digests checked.
+incremental zlib decompression, a member a record, framing by Content-Length, and both digests checked. Records have ids
+of their own; pages are named by fields of the record, as page_ids can repeat or be missing.
 """
 
 from __future__ import annotations
@@ -38,17 +39,19 @@ def record(page_id, url: str | None, payload: bytes, first) -> bytes:
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if first is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>",
         f"WARC-Date: {DATE}",
         f"WARC-Block-Digest: {digest(block)}",
         f"WARC-Payload-Digest: {whole}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
+    if page_id is not None:
+        head.append(f"X-Page-ID: {page_id}")
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
     if first is not None:
-        head += [f"WARC-Refers-To: <urn:page:{first}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"X-Refers-To-Page-ID: {first}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     raw = "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress(raw) + packer.flush()
@@ -89,11 +92,10 @@ def parsed(member: bytes) -> tuple:
     if kind == "response" and digest(payload) != whole:
         raise ValueError("a payload's digest doesn't fit")
     size = next(int(x.split(b": ")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length: "))
-    number = lambda s: int(s) if (s := s.removeprefix("<urn:page:").removesuffix(">")) else None
+    number = lambda key: int(fields[key]) if key in fields else None
     url = fields.get("warc-target-uri")
     url = url if url is None else url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
-    refers = number(fields["warc-refers-to"]) if "warc-refers-to" in fields else None
-    return number(fields["warc-record-id"]), url, kind, refers, whole.removeprefix("sha256:"), size, payload if kind == "response" else None
+    return number("x-page-id"), url, kind, number("x-refers-to-page-id"), whole.removeprefix("sha256:"), size, payload if kind == "response" else None
 
 
 def roles(pages: DataFrame, least: int = LEAST) -> DataFrame:
@@ -111,8 +113,9 @@ def roles(pages: DataFrame, least: int = LEAST) -> DataFrame:
 def write(pages: DataFrame, folder: str | None = None, files: int | None = None) -> DataFrame:
     """Writes a record for each row of pages (page_id, url, html) and returns path, records, bytes of the files.
 
-    Null html is an empty payload; null urls are left out of the record. Each partition of pages becomes an archive, in the
-    order in which it is read, so that the pages themselves are not shuffled; `files` deals them by page_id to so many
+    Null html is an empty payload; null urls are left out of the record. Each partition of pages becomes an archive, after a
+    join with the narrow table of revisits (Spark broadcasts that if it is small, else pages are dealt by page_id once);
+    `files` deals them by page_id to so many
     archives instead. Rows that repeat are records that repeat. Empty tables write no file.
     """
     spark = pages.sparkSession
@@ -148,7 +151,11 @@ def write(pages: DataFrame, folder: str | None = None, files: int | None = None)
 
 
 def read(paths: DataFrame, payloads: bool = True, batch: int = 8 << 20) -> DataFrame:
-    """The records of the archives in column path, one task reading a file from front to end; columns as in READ."""
+    """The records of the archives in column path, one task reading a file from front to end; columns as in READ.
+
+    A path that repeats is read as often; no paths give no rows; null page_ids and urls come back as null. A record is in
+    memory whole, a file isn't.
+    """
 
     def get(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in READ.split(", ")]
