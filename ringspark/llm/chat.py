@@ -29,7 +29,7 @@ CONTROL = (START, END, "<|endoftext|>", "<|system|>", "<|user|>", "<|assistant|>
 _CONTROL = re.compile(f"(?=(?:{'|'.join(map(re.escape, CONTROL))}))(.)", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(re.escape(START) + "(.*?)\n(.*?)" + re.escape(END) + "\n", re.S)
-WINDOWS = "conv_id long, window long, formatted string, n_turns long, n_repeated long, tokens long, loss string"
+WINDOWS = "conv_id long, window long, formatted string, n_turns long, n_repeated long, tokens long, loss string, over boolean"
 
 
 def escape(text: str) -> str:
@@ -93,7 +93,8 @@ class Formatter:
                 at = len(text) + len(START) + len(escape_role(role)) + 1
                 spans.append([at, len(text) + len(formatted) - len(END) - 1])
             text += formatted
-        row = (self.conv_id, self.number, text, len(self.span), len(self.repeated), self.head + self.span[-1][4] - self.begin, json.dumps(spans))
+        tokens = self.head + self.span[-1][4] - self.begin
+        row = (self.conv_id, self.number, text, len(self.span), len(self.repeated), tokens, json.dumps(spans), tokens > self.budget)
         for formatted, _, tokens, is_system, prefix in self.span:
             self.past.append((formatted, prefix, tokens, is_system))
         while self.past and self.past[-1][1] - (self.past[0][1] - self.past[0][2]) > self.history and len(self.past) > 1:
@@ -124,7 +125,8 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 256, vocabulary
     """The windows of all conversations, as in WINDOWS; loss is a JSON list of the spans of `formatted` under the loss mask.
 
     Turns come in order of turn, then role and text; null turns first. The system turn is the first turn if its role is
-    system. A turn that alone is over the budget is a window of its own, without history. Rows with a null conv_id are
+    system. Nothing is cut: a turn that is over the budget, alone or with the system turn, is a window of its own with the
+    system turn and without history, and `over` marks such a window; all others keep to the budget. Rows with a null conv_id are
     one conversation. Repeated rows are turns that repeat. An empty table gives an empty one; other columns are ignored.
     Conversations are streamed in order, so even one with most of all rows takes the memory of a window.
     """
