@@ -39,19 +39,23 @@ def smoothed(samples: DataFrame, by: list[str], order: list[str], value: str, ga
 def fold(samples: DataFrame, by: list[str], order: list[str], start: Callable, step: Callable, schema: str) -> DataFrame:
     """One row for each group: start(row) then step(state, row) over its rows in order; a state is a tuple as in schema.
 
-    For folds that are no sum. Groups are sorted by Spark and streamed, so even a very long one takes one state of memory.
+    For folds that are no sum. Groups are sorted by Spark and streamed, so even a very long one takes one state of memory;
+    a fold is sequential, so it is one task as well. A null key is a group. Keys pass through tasks as text, in which
+    nulls are equal and long numbers exact.
     """
     names = samples.columns
-    dealt = samples.repartition(*by).sortWithinPartitions(*by, *order)
+    dealt = samples.repartition(*by).sortWithinPartitions(*by, *order).select(*(F.col(c).cast("string").alias(c) if c in by else c for c in names))
     at = [names.index(c) for c in by]
-    out = [x.split()[0] for x in schema.split(", ")]
+    types = dict(x.split() for x in schema.split(", "))
+    out = list(types)
+    as_text = ", ".join(f"{c} {'string' if c in by else t}" for c, t in types.items())
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = None, None
         for b in batches:
             done = []
             for row in b.itertuples(index=False, name=None):
-                own = tuple(row[i] for i in at)
+                own = tuple(None if row[i] != row[i] else row[i] for i in at)
                 if key is not None and own == key:
                     state = step(state, dict(zip(names, row, strict=True)))
                 else:
@@ -63,7 +67,7 @@ def fold(samples: DataFrame, by: list[str], order: list[str], start: Callable, s
         if key is not None:
             yield pd.DataFrame([(*key, *state)], columns=out)
 
-    return dealt.mapInPandas(put, schema)
+    return dealt.mapInPandas(put, as_text).select(*(F.col(c).cast(t).alias(c) for c, t in types.items()))
 
 
 def integer_smoothed(samples: DataFrame, by: list[str], order: list[str], value: str, by_schema: str) -> DataFrame:
@@ -95,6 +99,55 @@ def relaxed(samples: DataFrame, by: list[str], order: list[str], by_schema: str)
     return fold(samples, by, order, lambda r: step((0.0, 0.0, 100.0, 1.0), r), step, f"{by_schema}, x double, y double, ht double, err double")
 
 
+def deviations(samples: DataFrame, by: list[str], order: list[str], value: str, gain: float, by_schema: str) -> DataFrame:
+    """by..., n, mean, deviation, top: smoothed mean and mean deviation of a value; the first sample seeds the mean."""
+
+    def step(s: tuple, r: dict) -> tuple:
+        off = float(r[value]) - s[1]
+        return s[0] + 1, s[1] + gain * off, s[2] + gain * (abs(off) - s[2]), max(s[3], float(r[value]))
+
+    return fold(samples, by, order, lambda r: (1, float(r[value]), 0.0, float(r[value])), step, f"{by_schema}, n long, mean double, deviation double, top double")
+
+
+def prediction_errors(samples: DataFrame, by: list[str], order: list[str], value: str, predicted: str, gain: float, by_schema: str) -> DataFrame:
+    """by..., error, relative, deviation: smoothed differences of a value and its prediction, from zero on. Values of zero or less don't count."""
+
+    def step(s: tuple, r: dict) -> tuple:
+        off = abs(float(r[value]) - float(r[predicted]))
+        if r[value] <= 0:
+            return s
+        return (49 * s[0] + off) / 50, (49 * s[1] + off / r[value]) / 50, s[2] + gain * (off - s[2])
+
+    return fold(samples, by, order, lambda r: step((0.0, 0.0, 0.0), r), step, f"{by_schema}, error double, relative double, deviation double")
+
+
+def backoff(rounds: DataFrame, by: list[str], order: list[str], by_schema: str) -> DataFrame:
+    """by..., interval: milliseconds of a timer over rounds (outstanding, stable).
+
+    It doubles while a round is outstanding; else it grows by a fifth while the ring is stable, up to 16 s, and falls by a
+    second while it isn't, down to 8 s.
+    """
+
+    def step(s: tuple, r: dict) -> tuple:
+        t = s[0]
+        t = t * 2 if r["outstanding"] else t * 12 // 10 if r["stable"] and t <= 16000 else t - 1000 if t > 8000 else t
+        return (min(16000, t),)
+
+    return fold(rounds, by, order, lambda r: step((1000,), r), step, f"{by_schema}, interval long")
+
+
+def probes(since_dead: Column, first: int = 60, most: int = 960, give_up: int = 30 * 86400) -> Column:
+    """How often a dead node was probed again so many seconds on: after `first` seconds, then at intervals that double up to `most`, until `give_up`."""
+    doubled, at, step = [], 0, first
+    while step < most:
+        at += step
+        doubled.append(at)
+        step *= 2
+    age = F.least(since_dead, F.lit(give_up))
+    early = sum(((age >= x).cast("long") for x in doubled), F.lit(0).cast("long"))
+    return early + F.greatest(F.lit(0).cast("long"), F.floor((age - at) / most).cast("long"))
+
+
 def window_control(samples: DataFrame, by: list[str], order: list[str], lost: str, by_schema: str) -> DataFrame:
     """by..., window, mean: a send window that grows by 1/window and halves on loss, and its 49/50 mean."""
 

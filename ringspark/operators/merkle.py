@@ -76,6 +76,21 @@ def statistics(keys: DataFrame) -> DataFrame:
     return level.rollup("depth").agg(*sums)
 
 
+def violations(nodes: DataFrame) -> DataFrame:
+    """depth, prefix, fault of a stored tree (depth, prefix, n, is_leaf): full if a leaf holds more than a node may, small if an inner
+    node holds less, sum if an inner node's count isn't that of its children, lost if a node's parent isn't there."""
+    up = nodes.where("depth > 0").select((F.col("depth") - 1).alias("depth"), F.expr("substr(prefix, 1, 2 * (depth - 1))").alias("prefix"), F.col("n").alias("own"))
+    sums = up.groupBy("depth", "prefix").agg(F.sum("own").alias("below"))
+    both = nodes.join(sums, ["depth", "prefix"], "full_outer")
+    fault = (
+        F.when(F.col("n").isNull(), "lost")
+        .when(F.col("is_leaf") & (F.col("n") > FULL), "full")
+        .when(~F.col("is_leaf") & (F.col("n") <= FULL), "small")
+        .when(~F.col("is_leaf") & (F.coalesce("below", F.lit(0)) != F.col("n")), "sum")
+    )
+    return both.select("depth", "prefix", fault.alias("fault")).where("fault is not null")
+
+
 def key_range(keys: DataFrame, low: str, high: str, count: int) -> DataFrame:
     """The first `count` keys clockwise from low in [low, high], around zero if low is not below high; with at, from 0."""
     found = keys.where(ids.in_range("id", low, high) if low != high else F.lit(True)).select("id").distinct()

@@ -33,20 +33,25 @@ def prefix_repairs(holdings: DataFrame, keys: DataFrame, nodes: DataFrame, width
     return out.withColumn("at", F.row_number().over(Window.partitionBy("owner").orderBy("key"))).where(F.col("at") <= limit).drop("at")
 
 
+def other_hosts(nodes: DataFrame) -> DataFrame:
+    """id, side (0: after, 1: before), src: the nearest node of another host each way around, however many of one host follow each other."""
+    order = Window.orderBy("id")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ring_ = nodes.select("id", "host", F.coalesce(F.lag("id").over(order), F.last("id").over(whole)).alias("pred"), F.coalesce(F.lag("host").over(order), F.last("host").over(whole)).alias("before"))
+    begins = F.when(F.col("host") != F.col("before"), F.struct("id", "pred"))  # where a run of nodes of one host begins
+    after = F.coalesce(F.min(begins).over(order.rowsBetween(1, Window.unboundedFollowing)), F.min(begins).over(whole))
+    own = F.coalesce(F.max(begins).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.max(begins).over(whole))
+    found = ring_.select("id", F.array(F.struct(F.lit(0).alias("side"), after["id"].alias("src")), F.struct(F.lit(1).alias("side"), own["pred"].alias("src"))).alias("both"))
+    return found.select("id", F.inline("both")).where("src is not null")
+
+
 def neighbour_repairs(holdings: DataFrame, nodes: DataFrame, preds: int) -> DataFrame:
     """node, key, src: keys that the next or the previous node on another host holds, in the node's range, and that it lacks.
 
     The range goes from the preds-th node before it to the node itself. If both hold the key, the next node gives it.
     """
-    hosts = nodes.select(F.col("id").alias("neighbour"), F.col("host").alias("other"))
-    own = nodes.select("id", "host")
-
-    def first(step: int, side: int) -> DataFrame:
-        near = ring.successors(nodes.select("id"), 8, step).join(hosts, "neighbour").join(own, "id").where("host <> other")
-        return near.groupBy("id").agg(F.min_by("neighbour", "position").alias("src")).withColumn("side", F.lit(side))
-
     low = ring.successors(nodes.select("id"), preds, -1).where(F.col("position") == preds).select("id", F.col("neighbour").alias("low"))
-    sources = first(1, 0).unionByName(first(-1, 1)).join(low, "id", "left")
+    sources = other_hosts(nodes).join(low, "id", "left")
     offered = sources.join(holdings.select(F.col("node").alias("src"), "key").distinct(), "src")
     offered = offered.where(F.when(F.col("low").isNull(), F.lit(True)).otherwise(ids.between_right("low", "id", "key")))
     best = offered.groupBy(F.col("id").alias("node"), "key").agg(F.min_by("src", "side").alias("src"))
@@ -80,6 +85,42 @@ def missing_report(holdings: DataFrame, keys: DataFrame, nodes: DataFrame, preds
     return marked.groupBy("node").agg(F.count("*").alias("in_scope"), count(F.col("gone")).alias("missing"), count(F.col("starts")).alias("runs"), F.bool_or(F.col("gone") & F.col("first")).alias("at_start"), F.bool_or(F.col("gone") & F.col("last")).alias("at_end"))
 
 
+def mirror_differences(holdings: DataFrame, keys: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """node, position, mirror, n, lost: of the n keys a node owns, how many the node so many places after it lacks (0: itself)."""
+    around = ring.successors(nodes.select("id"), width - 1).select(F.col("id").alias("node"), "position", F.col("neighbour").alias("mirror"))
+    around = around.union(nodes.select("id", F.lit(0), "id"))
+    owned = ring.owners(keys.select("key"), nodes).select(F.col("owner").alias("node"), "key")
+    held = holdings.select(F.col("node").alias("mirror"), "key").distinct().withColumn("held", F.lit(True))
+    return owned.join(around, "node").join(held, ["mirror", "key"], "left").groupBy("node", "position", "mirror").agg(F.count("*").alias("n"), F.count_if(F.col("held").isNull()).alias("lost"))
+
+
+def mixed(urgent: DataFrame, usual: DataFrame, most: int) -> DataFrame:
+    """node, key, from_urgent: at most `most` repairs a node: up to half from the urgent ones, the rest from the usual ones, lowest keys first."""
+    at = lambda t: t.select("node", "key").distinct().withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("key")))
+    first = at(urgent).where(F.col("at") <= most // 2)
+    taken = first.groupBy("node").agg(F.count("*").alias("taken"))
+    rest = at(usual.join(first.select("node", "key"), ["node", "key"], "left_anti")).join(taken, "node", "left").where(F.col("at") <= most - F.coalesce("taken", F.lit(0)))
+    return first.select("node", "key", F.lit(True).alias("from_urgent")).union(rest.select("node", "key", F.lit(False)))
+
+
+def next_batch(missing: DataFrame, cursors: DataFrame, count: int) -> DataFrame:
+    """node, key, wrapped: the next `count` missing keys (node, key) after each node's cursor (node, last); where nothing follows, from the lowest on.
+
+    A node without a cursor begins at the lowest key.
+    """
+    placed = missing.join(cursors, "node", "left").withColumn("ahead", F.coalesce(F.col("key") > F.col("last"), F.lit(True)))
+    wrapped = placed.groupBy("node").agg((~F.bool_or("ahead")).alias("wrapped"))
+    open_ = placed.join(wrapped, "node").where("ahead or wrapped")
+    return open_.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("key"))).where(F.col("at") <= count).select("node", "key", "wrapped")
+
+
+def unexpected(expected: DataFrame, done: DataFrame) -> DataFrame:
+    """The columns of expected, side: rows that only one side has (expected or done)."""
+    by = expected.columns
+    a, b = expected.distinct(), done.select(by).distinct()
+    return a.exceptAll(b).withColumn("side", F.lit("expected")).union(b.exceptAll(a).withColumn("side", F.lit("done")))
+
+
 def queue(jobs: DataFrame, most: int) -> DataFrame:
     """The jobs (dst, key, ...) that run next: each different (dst, key) once, at most `most` a destination, lowest keys first."""
     once = jobs.groupBy("dst", "key").agg(F.count("*").alias("asked"))

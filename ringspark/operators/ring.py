@@ -8,6 +8,8 @@ has one row a node and one a leading-digit value; Spark broadcasts it if it is s
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,8 +52,42 @@ def owners(keys: DataFrame, nodes: DataFrame, key: str = "key", digits: int = 2)
     pieces = intervals(nodes.select("id").distinct(), digits)
     # a bucket that can't be null spares Spark a filter that would take the key's expression once more
     at = keys.withColumn("ring_bucket", F.coalesce(F.conv(F.substring(key, 1, digits), 16, 10).cast("int"), F.lit(-1)))
-    joined = at.join(pieces, (at.ring_bucket == pieces.bucket) & (F.col(key) > F.col("low")) & (F.col(key) <= F.col("high")))
-    return joined.select(*keys.columns, "owner", F.col("pred").alias("owner_pred"))
+    pieces = pieces.select(*(F.col(c).alias(f"ring_{c}_") for c in pieces.columns))  # names that keys may have itself
+    joined = at.join(pieces, (F.col("ring_bucket") == F.col("ring_bucket_")) & (F.col(key) > F.col("ring_low_")) & (F.col(key) <= F.col("ring_high_")))
+    return joined.select(*(c for c in keys.columns if c not in ("owner", "owner_pred")), F.col("ring_owner_").alias("owner"), F.col("ring_pred_").alias("owner_pred"))
+
+
+def range_counts(points: DataFrame, ranges: DataFrame, digits: int = 3) -> DataFrame:
+    """a, b, n_open, n_left, n_right, n_both: how many points (column n) each range from a to b of the circle holds, with neither, one or both ends.
+
+    Points are counted by leading digits (16^digits rows at most) and summed up, so an end is compared with the points of
+    its own digits only. If a is b, the range is the whole circle (without a if open).
+    """
+    bucket = lambda c: F.conv(F.substring(c, 1, digits), 16, 10).cast("int")
+    keyed = points.select("n", bucket("n").alias("bucket"))
+    upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    all_ = points.sparkSession.range(16**digits).select(F.col("id").cast("int").alias("bucket"))
+    below = all_.join(keyed.groupBy("bucket").agg(F.count("*").alias("own")), "bucket", "left").withColumn("below", F.coalesce(F.sum("own").over(upto), F.lit(0)))
+    ends = ranges.select(F.col("a").alias("end")).union(ranges.select("b")).distinct().withColumn("bucket", bucket("end"))
+    near = ends.join(keyed, "bucket").groupBy("end").agg(F.count_if(F.col("n") < F.col("end")).alias("less"), F.count_if(F.col("n") == F.col("end")).alias("same"))
+    at = ends.join(below.select("bucket", "below"), "bucket").join(near, "end", "left")
+    at = at.select("end", (F.col("below") + F.coalesce("less", F.lit(0))).alias("less"), F.coalesce("same", F.lit(0)).alias("same"))
+    a, b = (at.select(F.col("end").alias(x), F.struct("less", "same").alias(f"at_{x}")) for x in "ab")
+    total = F.col("total")
+    al, as_, bl, bs = F.col("at_a.less"), F.col("at_a.same"), F.col("at_b.less"), F.col("at_b.same")
+    around = F.when(F.col("a") < F.col("b"), F.lit(0)).otherwise(total)
+    whole = F.col("a") == F.col("b")
+    out = ranges.distinct().join(a, "a").join(b, "b").crossJoin(points.agg(F.count("*").alias("total")))  # one row
+    return out.select(
+        "a", "b", F.when(whole, total - as_).otherwise(around + bl - al - as_).alias("n_open"), F.when(whole, total).otherwise(around + bl - al).alias("n_left"),
+        F.when(whole, total).otherwise(around + bl + bs - al - as_).alias("n_right"), F.when(whole, total).otherwise(around + bl + bs - al).alias("n_both"),
+    )
+
+
+def any_other(nodes: DataFrame) -> DataFrame:
+    """id, other: some living node that isn't the node itself: the least, for it the second; a single node has none."""
+    two = nodes.select("id").distinct().orderBy("id").limit(2).agg(F.sort_array(F.collect_list("id")).alias("two"))
+    return nodes.select("id").crossJoin(two).select("id", F.when(F.col("id") == F.col("two")[0], F.get("two", F.lit(1))).otherwise(F.col("two")[0]).alias("other"))  # one row
 
 
 def successors(nodes: DataFrame, k: int, step: int = 1) -> DataFrame:
@@ -134,7 +170,7 @@ def size_estimate(nodes: DataFrame, k: int) -> DataFrame:
     return far.select("id", (F.lit(float(1 << 160)) * F.col("k") / ids.as_double(ids.subtract("last", "id"))).alias("estimate"))
 
 
-def routes(lookups: DataFrame, nodes: DataFrame, mode: str = "fingers", succs: int = 4, most: int = 40, stop: Column | None = None) -> DataFrame:
+def routes(lookups: DataFrame, nodes: DataFrame, mode: str = "fingers", succs: int = 4, stop: Column | None = None) -> DataFrame:
     """lookups (src, key) with path, owner, hops: each step goes to the furthest known node before the key.
 
     All lookups advance together: a round is one equi-join of the unfinished ones with the table of known nodes, by the
@@ -150,18 +186,17 @@ def routes(lookups: DataFrame, nodes: DataFrame, mode: str = "fingers", succs: i
     first = neighbours(nodes).select(F.col("id").alias("at"), "succ")
     step = save(first.join(known, known.id == first.at, "left").select("at", F.coalesce("known", F.array().cast("array<string>")).alias("known"), "succ"), "routing")
     open_ = lookups.select("src", "key", F.col("src").alias("cur"), F.array().cast("array<string>").alias("path"))
-    done = None
-    for _ in range(most):
+    done = []
+    while True:
         here = open_.join(step, F.col("cur") == F.col("at"))
         ends = ids.between_right("cur", "succ", "key")
         if stop is not None:
             ends = ends | stop
         here = here.withColumn("ends", ends).withColumn("path", F.concat("path", F.array("cur")))
-        finished = here.where("ends").select("src", "key", F.concat("path", F.when(F.col("cur") == F.col("succ"), F.array().cast("array<string>")).otherwise(F.array("succ"))).alias("path"), F.col("succ").alias("owner"))
         # the furthest clockwise from cur: those past zero come last, else in order of ids
         far = F.array_max(F.transform(F.filter("known", lambda x: ids.between("cur", "key", x)), lambda x: F.struct((x < F.col("cur")).alias("past"), x.alias("id"))))["id"]
-        open_ = save(here.where("not ends").select("src", "key", far.alias("cur"), "path"), "frontier")
-        done = save(finished if done is None else done.union(finished), "routed")
-        if open_.isEmpty():
-            return done.select("src", "key", "path", "owner", (F.size("path") - 1).cast("long").alias("hops"))
-    raise RuntimeError("some lookups did not end")
+        here = save(here.select("src", "key", "cur", "path", "succ", "ends", F.when(~F.col("ends"), far).alias("far")), "frontier")
+        done.append(here.where("ends").select("src", "key", F.concat("path", F.when(F.col("cur") == F.col("succ"), F.array().cast("array<string>")).otherwise(F.array("succ"))).alias("path"), F.col("succ").alias("owner")))
+        open_ = here.where("not ends").select("src", "key", F.col("far").alias("cur"), "path")
+        if open_.isEmpty():  # each step comes nearer to the key, so all end
+            return functools.reduce(DataFrame.union, done).select("src", "key", "path", "owner", (F.size("path") - 1).cast("long").alias("hops"))

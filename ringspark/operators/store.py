@@ -130,7 +130,7 @@ def chunks(files: DataFrame, size: int) -> DataFrame:
     return cut.select("name", F.col("pos").cast("long").alias("pos"), F.sha1(piece).alias("id"), F.octet_length(piece).cast("long").alias("n_bytes"))
 
 
-def hash_tree(leaves: DataFrame, fan: int = 4, levels: int = 16) -> DataFrame:
+def hash_tree(leaves: DataFrame, fan: int = 4) -> DataFrame:
     """name, level, pos, id: groups of `fan` children's hashes, concatenated and hashed, up to one root; one block still gets a root.
 
     leaves: name, pos, id. A loop of as many aggregations as the tallest tree has levels.
@@ -138,8 +138,9 @@ def hash_tree(leaves: DataFrame, fan: int = 4, levels: int = 16) -> DataFrame:
     from ringspark.operators.tables import save
 
     now = leaves.select("name", F.lit(0).alias("level"), "pos", "id")
-    out = now
-    for level in range(1, levels):
+    out, level = now, 0
+    while True:
+        level += 1
         ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]), "")  # at most `fan` of them
         now = now.groupBy("name", F.floor(F.col("pos") / fan).cast("long").alias("up")).agg(F.sha1(F.unhex(ordered)).alias("id"))
         now = save(now.select("name", F.lit(level).alias("level"), F.col("up").alias("pos"), "id"), "tree")
@@ -151,6 +152,16 @@ def hash_tree(leaves: DataFrame, fan: int = 4, levels: int = 16) -> DataFrame:
     return out
 
 
+def expiry_rounds(stored: DataFrame, start: int, every: int) -> DataFrame:
+    """stored with round: in which of the rounds at start, start + every, ... a row expires; null for never.
+
+    A round at a moment takes what expires before that moment's whole minute and wasn't taken before.
+    """
+    due = F.floor(F.col("expiration") / 60) * 60 + 60
+    number = F.greatest(F.lit(0).cast("long"), F.ceil((due - start) / every).cast("long"))
+    return stored.withColumn("round", F.when(F.col("expiration") > 0, number))
+
+
 def coverage(parts: DataFrame) -> DataFrame:
     """name, n_islands, covered, complete: chunks (name, start, stop, total) merged where they touch or overlap."""
     reach = F.max("stop").over(Window.partitionBy("name").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1))

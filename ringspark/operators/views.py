@@ -41,7 +41,7 @@ def changed(before: DataFrame, after: DataFrame) -> DataFrame:
 def nearest_in_range(nodes: DataFrame, ranges: DataFrame, most: int = 5) -> DataFrame:
     """src, id, at: the first `most` nodes clockwise after src within (src, stop] of ranges (src, stop)."""
     order = Window.partitionBy("src").orderBy(F.col("id") < F.col("src"), "id")
-    inside = nodes.select("id").join(F.broadcast(ranges), ids.between_right("src", "stop", "id") & (F.col("id") != F.col("src")))  # the stated ranges
+    inside = nodes.select("id").join(ranges, ids.between_right("src", "stop", "id") & (F.col("id") != F.col("src")))  # the stated ranges
     return inside.withColumn("at", F.row_number().over(order)).where(F.col("at") <= most).select("src", "id", "at")
 
 
@@ -53,9 +53,8 @@ def fetch_choice(asked: DataFrame, need: int) -> DataFrame:
 
 
 def phases(times: DataFrame, by: str, at: str) -> DataFrame:
-    """by, deltas: milliseconds between the moments of each retrieval, from an array of them."""
-    steps = F.transform(F.sequence(F.lit(1), F.size(at) - 1), lambda i: F.get(at, i) - F.get(at, i - 1))
-    return times.select(by, F.when(F.size(at) > 1, steps).otherwise(F.array().cast("array<bigint>")).alias("deltas"))
+    """by, at, delta: the time since the moment before of the same retrieval; null for the first. No group is held whole."""
+    return times.select(by, at, (F.col(at) - F.lag(at).over(Window.partitionBy(by).orderBy(at))).alias("delta"))
 
 
 def file_layout(chunks: DataFrame, fan: int) -> DataFrame:
@@ -65,6 +64,25 @@ def file_layout(chunks: DataFrame, fan: int) -> DataFrame:
     return low.groupBy("name").agg(F.sum("n").alias("n_blocks"), F.count("*").alias("indirect"), F.sha1(F.unhex(listed(F.collect_list(F.struct("pos", "id"))))).alias("inode"))
 
 
+def listing(chunks: DataFrame, fan: int) -> DataFrame:
+    """name, pos, content: the indirect blocks of each file (pos from 0) and its inode block (pos -1): ids one after another."""
+    listed = lambda c: F.array_join(F.transform(F.sort_array(c), lambda x: x["id"]), "")
+    low = chunks.groupBy("name", F.floor(F.col("pos") / fan).alias("pos")).agg(listed(F.collect_list(F.struct("pos", "id"))).alias("content"))  # fan ids at most
+    top = low.groupBy("name").agg(listed(F.collect_list(F.struct("pos", F.sha1(F.unhex("content")).alias("id")))).alias("content"))
+    return low.select("name", "pos", "content").union(top.select("name", F.lit(-1).cast("long"), "content"))
+
+
+def reassembled(lists: DataFrame, data: DataFrame) -> DataFrame:
+    """name, content of files read back from their listing and the data blocks (id, data): inode, indirect and data blocks are found by their ids."""
+    ids_in = lambda c: F.transform(F.sequence(F.lit(0), (F.length(c) / 40).cast("int") - 1), lambda i: F.substring(c, (i * 40 + 1).cast("int"), F.lit(40)))
+    blocks = lists.where("pos >= 0").select(F.sha1(F.unhex("content")).alias("id"), "content").dropDuplicates(["id"])
+    first = lists.where("pos < 0").select("name", F.posexplode(ids_in(F.col("content"))).alias("i", "id"))
+    second = first.join(blocks, "id").select("name", "i", F.posexplode(ids_in(F.col("content"))).alias("j", "id"))
+    found = second.join(data.dropDuplicates(["id"]), "id")
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("i", "j", F.hex("data").alias("h")))), lambda x: x["h"])
+    return found.groupBy("name").agg(F.unhex(F.array_join(whole, "")).alias("content"))
+
+
 def tree_nodes(keys: DataFrame) -> DataFrame:
     """depth, prefix, n, hash, children: inner nodes with their children's hashes by slot, as a node is sent to another."""
     h = merkle.hashes(keys)

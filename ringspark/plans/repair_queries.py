@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ringspark.functions import ids
 from ringspark.operators import measures, repair, ring
 from ringspark.plans import derived as d
+from ringspark.plans import ring_queries
 from ringspark.streaming import state
 
 Q: dict = {}
@@ -45,8 +46,8 @@ def prefix_repairs(spark, sf):
 
 
 @query(f"""with {d.REPLICAS}, h as (select distinct "key", node from holdings),
-near as (select a.id, s.side, min_by(b.id, s.p) as src from ranked a, (select unnest(range(1, 9)) as p, 0 as side union all select unnest(range(1, 9)), 1) s, ranked b
- where s.p < a.n and b.rank = case when s.side = 0 then (a.rank + s.p) % a.n else (a.rank + a.n - s.p) % a.n end and b.host <> a.host group by 1, 2),
+near as (select a.id, s.side, min_by(b.id, case when s.side = 0 then (b.rank + a.n - a.rank) % a.n else (a.rank + a.n - b.rank) % a.n end) as src from ranked a, (select unnest([0, 1]) as side) s, ranked b
+ where b.host <> a.host group by 1, 2),
 low as (select a.id, b.id as low from ranked a join ranked b on b.rank = (a.rank + a.n - 3) % a.n),
 offers as (select n.id as node, h."key", n.side, n.src from near n join low l on l.id = n.id join h on h.node = n.src where {d.sql_between('right', 'l.low', 'n.id', 'h."key"')})
 select node, "key", min_by(src, side) as src from offers o where not exists (select 1 from h where h.node = o.node and h."key" = o."key") group by 1, 2""")
@@ -83,13 +84,13 @@ _DIST = "sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) + a.ht + b.ht"
 
 @query(f"with {d.COORDINATES}, p as (select a.id, b.id as other, round({_DIST}, 4) as distance from places a join places b on a.id <> b.id) select id, other, distance from p qualify row_number() over (partition by id order by distance, other) <= 3")
 def coordinate_topk(spark, sf):
-    """The three nearest nodes of each node by coordinates: the nodes are few against keys, and one side is broadcast."""
+    """The three nearest nodes of each node by coordinates: all pairs of nodes, which are few against keys."""
     from pyspark.sql import Window
 
     c = d.coordinates(spark, sf)
     a = c.select("id", F.struct("x", "y", "ht").alias("a"))
     b = c.select(F.col("id").alias("other"), F.struct("x", "y", "ht").alias("b"))
-    p = a.join(F.broadcast(b), F.col("id") != F.col("other")).select("id", "other", F.round(ring.coordinate_distance(F.col("a"), F.col("b")), 4).alias("distance"))
+    p = a.join(b, F.col("id") != F.col("other")).select("id", "other", F.round(ring.coordinate_distance(F.col("a"), F.col("b")), 4).alias("distance"))
     return p.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))).where("at <= 3").drop("at")
 
 
@@ -105,7 +106,7 @@ def latency_rank(spark, sf):
     c = d.coordinates(spark, sf)
     a = c.select(F.col("id").alias("owner"), F.struct("x", "y", "ht").alias("a"))
     b = c.select(F.col("id").alias("node"), F.struct("x", "y", "ht").alias("b"))
-    p = r.join(F.broadcast(a), "owner").join(F.broadcast(b), "node").select("key", "node", F.round(ring.coordinate_distance(F.col("a"), F.col("b")), 4).alias("distance"))
+    p = r.join(a, "owner").join(b, "node").select("key", "node", F.round(ring.coordinate_distance(F.col("a"), F.col("b")), 4).alias("distance"))
     return p.withColumn("choice", F.row_number().over(Window.partitionBy("key").orderBy("distance", "node")))
 
 
@@ -144,16 +145,24 @@ def coordinate_fit(spark, sf):
     return measures.relaxed(s, ["dst"], ["ts", "event_id"], "dst long")
 
 
-@query()
+def sql_fold(elements: str, first: str, step: str, by: str = "dst") -> str:
+    """by, s: a fold over each group's elements in order of (ts, event_id); step is an expression of the state s and the element e, both of first's type."""
+    return f"with {_CALLS}, l as (select {by}, list({elements} order by ts, event_id) as l from calls group by {by}) select {by}, list_reduce(list_prepend({first}, l), lambda s, e: {step}) as s from l"
+
+
+_WINDOW = "(case when e.w = 1 then greatest(1.0::DOUBLE, s.w / 2) else s.w + 1 / s.w end)"
+
+
+@query("select dst, round(s.w, 6) as window, round(s.m, 6) as mean from (" + sql_fold("{'w': (kind = 'resend')::INT::DOUBLE, 'm': 0.0::DOUBLE}", "{'w': 1.0::DOUBLE, 'm': 1.0::DOUBLE}", f"{{'w': {_WINDOW}, 'm': (49 * s.m + {_WINDOW}) / 50}}") + ")")
 def send_window(spark, sf):
     s = _calls(spark, sf).select("dst", "ts", "event_id", (F.col("kind") == "resend").alias("lost"))
-    return measures.window_control(s, ["dst"], ["ts", "event_id"], "lost", "dst long")
+    return measures.window_control(s, ["dst"], ["ts", "event_id"], "lost", "dst long").withColumns({c: F.round(c, 6) for c in ("window", "mean")})
 
 
-@query()
+@query("select dst, round(s, 6) as interval from (" + sql_fold("(kind = 'resend')::INT::DOUBLE", "1000.0::DOUBLE", "least(40000.0::DOUBLE, case when e = 1 then s * 2 when s >= 20000 then s - 1000 when s < 10000 then s * 1.2::DOUBLE else s end)") + ")")
 def stabilize_timer(spark, sf):
     s = _calls(spark, sf).select("dst", "ts", "event_id", (F.col("kind") == "resend").alias("outstanding"))
-    return measures.timers(s, ["dst"], ["ts", "event_id"], "dst long")
+    return measures.timers(s, ["dst"], ["ts", "event_id"], "dst long").withColumn("interval", F.round("interval", 6))
 
 
 @query(f"with {_CALLS} select event_id, case when latency <= 10000 then 'green' when latency <= 50000 then 'yellow' when latency <= 200000 then 'red' end as colour from calls")
@@ -168,9 +177,9 @@ def bounding_box(spark, sf):
     return measures.bounding_box(p, ["part"]).select("part", *(F.round(c, 6).alias(c) for c in ("cx", "cy", "side")))
 
 
-@query(f"with {d.NODES} select id, alive from nodes where k % 3 <> 0 order by alive, id limit 5")
+@query(f"with {d.NODES} select id, alive from nodes where k % 3 <> 0 order by alive, k * 37 % 101, id limit 5")
 def evicted_nodes(spark, sf):
-    n = d.nodes(spark, sf).select("id", "alive", (F.col("k") % 3 == 0).alias("pinned"), F.lit(0).alias("used"))
+    n = d.nodes(spark, sf).select("id", "alive", (F.col("k") % 3 == 0).alias("pinned"), (F.col("k") * 37 % 101).alias("used"))
     return measures.evicted(n, 5).select("id", "alive")  # five is how many are asked to go
 
 
@@ -186,11 +195,9 @@ def fresh_nodes(spark, sf):
     return n.select("id", measures.fresh_enough(F.col("k") * 100, F.col("vnode") * 40 + F.col("k"), 2, F.col("k") % 4 == 0).alias("fresh"))
 
 
-@query()
+@query(f"with {ring_queries.ROUTES} select src, count(*)::BIGINT as lookups, sum(hops)::BIGINT as hops, max(hops) as most, round(avg(hops), 6) as mean from routes group by src")
 def hop_stats(spark, sf):
-    keys = d.table(spark, sf, "benchmark").select(ids.hash_id("text").alias("key")).distinct()
-    looked = d.living(spark, sf).select(F.col("id").alias("src")).join(F.broadcast(keys))
-    return measures.hop_stats(ring.routes(looked, d.living(spark, sf).select("id")))
+    return measures.hop_stats(ring_queries.lookups(spark, sf)).withColumn("mean", F.round("mean", 6))
 
 
 @query("select time_bucket(interval '1 hour', ts)::TIMESTAMP as start, count(*)::BIGINT as n, round(sum(value), 4) as total from events group by 1")

@@ -49,8 +49,8 @@ def owner_without_failed(spark, sf):
 
 
 _TRIPLES = """triples as (select sha1(item_id::VARCHAR) as a, case when item_id % 4 = 0 then sha1(item_id::VARCHAR) else sha1(text) end as b, n.id as n from benchmark,
- (select sha1(l_orderkey::VARCHAR) as id from (select distinct l_orderkey from lineitem where l_orderkey % 50 = 0)
-  union select sha1(item_id::VARCHAR) from benchmark where item_id < 20) n)"""
+ (select sha1(l_orderkey::VARCHAR) as id from (select distinct l_orderkey from lineitem)
+  union select sha1(item_id::VARCHAR) from benchmark) n)"""
 
 
 @query(f"""with {_TRIPLES} select a, b, {", ".join(f"sum({d.sql_between(k, 'a', 'b', 'n')}::INT)::BIGINT as n_{k}" for k in ("open", "left", "right", "both"))} from triples group by a, b""")
@@ -58,11 +58,9 @@ def interval_predicates(spark, sf):
     b = d.table(spark, sf, "benchmark")
     own = F.sha1(F.col("item_id").cast("string").cast("binary"))
     ranges = b.select(own.alias("a"), F.when(F.col("item_id") % 4 == 0, own).otherwise(ids.hash_id("text")).alias("b"))
-    points = d.table(spark, sf, "lineitem").where("l_orderkey % 50 = 0").select(F.sha1(F.col("l_orderkey").cast("string").cast("binary")).alias("n")).distinct()
-    points = points.union(b.where("item_id < 20").select(own.alias("n"))).distinct()
-    tests = {"open": ids.between, "left": ids.between_left, "right": ids.between_right, "both": ids.between_both}
-    sums = [F.sum(f("a", "b", "n").cast("long")).alias(f"n_{k}") for k, f in tests.items()]
-    return points.join(F.broadcast(ranges)).groupBy("a", "b").agg(*sums)  # the stated ranges against all points
+    points = d.table(spark, sf, "lineitem").select(F.sha1(F.col("l_orderkey").cast("string").cast("binary")).alias("n")).distinct()
+    points = points.union(b.select(own.alias("n"))).distinct()
+    return ring.range_counts(points, ranges)
 
 
 @query(f"with i as (select sha1(text) as id from benchmark union select repeat('f', 40) union select repeat('0', 40) union select '00000000ffffffff' || repeat('f', 24)) select id, {d.sql_add('id', "repeat('0', 39) || '1'").replace("substr(repeat('0', 39) || '1'", "substr(repeat('0', 39) || '1'")} as inc, {d.sql_subtract('id', "(repeat('0', 39) || '1')")} as dec from i")
@@ -210,12 +208,26 @@ def route_owner(spark, sf):
     return ring.routes(looked.select("src", "key"), d.living(spark, sf).select("id")).select("src", "key", "owner")
 
 
-@query()
+#: A lookup for each key, from the owner of the key's own hash; at each node the furthest of its fingers and four successors before the key is next.
+ROUTES = "recursive " + _AROUND + f""", starts as (select id, p, {d.sql_add('id', 'pw')} as start from (select id, p, {d.sql_power('p')} as pw from living, (select unnest(range(160))::BIGINT as p) r)),
+known as (select distinct id, coalesce((select min(l.id) from living l where l.id >= start), (select min(id) from living)) as nb from starts union select a.id, b.id from ranked a, (select unnest(range(1, 5)) as p) r, ranked b where p < a.n and b.rank = (a.rank + p) % a.n),
+{d.KEYS}, asked as (select coalesce((select min(id) from living where id >= sha1("key")), (select min(id) from living)) as src, "key" from keys),
+steps as (select src, "key", src as cur, src as path, false as done from asked
+ union all select src, "key", nxt as cur, path || ',' || nxt, ends from (select s.src, s."key", s.path, {d.sql_between('right', 's.cur', 'a.succ', 's."key"')} as ends,
+  case when {d.sql_between('right', 's.cur', 'a.succ', 's."key"')} then a.succ else arg_max(k.nb, (k.nb < s.cur, k.nb)) filter ({d.sql_between('open', 's.cur', 's."key"', 'k.nb')}) end as nxt
+  from steps s join around a on a.id = s.cur join known k on k.id = s.cur where not s.done group by s.src, s."key", s.path, s.cur, a.succ)),
+routes as (select src, "key", path, cur as owner, (length(path) - length(replace(path, ',', '')))::BIGINT as hops from steps where done)"""
+
+
+def lookups(spark, sf):
+    keys = d.keys(spark, sf).select("key").withColumn("start", F.sha1(F.col("key").cast("binary")))
+    return ring.routes(ring.owners(keys, d.living(spark, sf), "start").select(F.col("owner").alias("src"), "key"), d.living(spark, sf).select("id"))
+
+
+@query(f'with {ROUTES} select src, "key", path, owner, hops from routes')
 def route_hops(spark, sf):
-    """Paths and hops of lookups from every node for the benchmark's keys."""
-    keys = d.table(spark, sf, "benchmark").select(ids.hash_id("text").alias("key")).distinct()
-    looked = d.living(spark, sf).select(F.col("id").alias("src")).join(F.broadcast(keys))
-    return ring.routes(looked, d.living(spark, sf).select("id"))
+    """Paths and hops of a lookup for each key."""
+    return lookups(spark, sf).withColumn("path", F.array_join("path", ","))
 
 
 @query()

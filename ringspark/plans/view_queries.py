@@ -76,10 +76,9 @@ def fetch_choice(spark, sf):
     return views.fetch_choice(asked.select("key", "choice", "ok"), 2)
 
 
-@query("with t as (select user_id, list(event_id order by event_id) as l from events where event_id % 97 < 3 group by user_id) select user_id, coalesce(array_to_string(list_transform(range(2, len(l) + 1), lambda i: l[i] - l[i - 1]), ','), '') as deltas from t")
+@query("select user_id, event_id, event_id - lag(event_id) over (partition by user_id order by event_id) as delta from events")
 def retrieve_phases(spark, sf):
-    t = d.table(spark, sf, "events").where("event_id % 97 < 3").groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("l"))
-    return views.phases(t, "user_id", "l").select("user_id", F.array_join(F.col("deltas").cast("array<string>"), ",").alias("deltas"))
+    return views.phases(d.table(spark, sf, "events"), "user_id", "event_id")
 
 
 @query(f"with {_CHUNKS}, low as (select name, pos // 8 as pos, sha1(unhex(string_agg(id, '' order by pos))) as id, count(*) as n from chunks group by 1, 2) select name, sum(n)::BIGINT as n_blocks, count(*)::BIGINT as indirect, sha1(unhex(string_agg(id, '' order by pos))) as inode from low group by name")

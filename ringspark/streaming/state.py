@@ -59,6 +59,12 @@ def lifetimes(stream: DataFrame, seconds: int) -> DataFrame:
     return stream.groupBy("user_id").agg((F.unix_timestamp(F.max("ts")) + seconds).alias("expires"), F.count("*").alias("writes"))
 
 
+def sessions(stream: DataFrame, idle: str = "1200 seconds", late: str = "10 minutes") -> DataFrame:
+    """user_id, start, stop, n: runs of events without a pause of `idle`; a session is reaped that long after its last event."""
+    timed = stream.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", idle).alias("s")).agg(F.count("*").alias("n"))
+    return timed.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("stop"), "n")
+
+
 def liveness(stream: DataFrame) -> DataFrame:
     """user_id, alive, losses, seen: an error is a loss, all else clears them; after more than four in a row a node is dead.
 

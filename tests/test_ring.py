@@ -82,3 +82,25 @@ def test_routes(spark, mode, n):
 
 def test_gap_of_one_node(spark):
     assert ring.widest_gaps(nodes_df(spark, [4])).first()["gap"] == ids.CIRCLE
+
+
+def test_many_nodes_of_one_host_in_a_row(spark):
+    from ringspark.operators import repair
+
+    hosts = ["a"] * 20 + ["b"] + ["c"] * 3 + ["a"] * 2
+    nodes = [(f"{i:040x}", h) for i, h in enumerate(hosts)]
+    got = {(r["id"], r["side"]): r["src"] for r in repair.other_hosts(spark.createDataFrame(nodes, "id string, host string")).collect()}
+    n = len(nodes)
+    for i, (id_, host) in enumerate(nodes):
+        for side, step in ((0, 1), (1, -1)):
+            assert got[id_, side] == next(nodes[(i + step * k) % n][0] for k in range(1, n) if nodes[(i + step * k) % n][1] != host)
+    assert repair.other_hosts(spark.createDataFrame(nodes[:5], "id string, host string")).count() == 0
+
+
+def test_owners_of_keys_with_clashing_columns(spark):
+    from ringspark.operators import ring
+
+    keys = spark.createDataFrame([("0" * 39 + "5", 1, 2, 3, "x", "y")], "key string, low int, high int, bucket int, owner string, pred string")
+    nodes = spark.createDataFrame([("0" * 39 + "3",), ("0" * 39 + "7",)], "id string")
+    row = ring.owners(keys, nodes).collect()[0]
+    assert row["owner"] == "0" * 39 + "7" and row["owner_pred"] == "0" * 39 + "3" and (row["low"], row["high"], row["bucket"], row["pred"]) == (1, 2, 3, "y")

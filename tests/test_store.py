@@ -122,6 +122,13 @@ def test_fold_streams_groups(spark):
         assert got[k] == (50, s)
 
 
+def test_fold_takes_null_and_long_keys(spark):
+    rows = [(None, i, i) for i in range(5)] + [((1 << 60) + 1, i, i) for i in range(3)] + [(2, 0, 7)]
+    df = spark.createDataFrame(rows, "k long, i long, v long")
+    got = {r["k"]: r["n"] for r in measures.integer_smoothed(df, ["k"], ["i"], "v", "k long").collect()}
+    assert got == {None: 5, (1 << 60) + 1: 3, 2: 1}
+
+
 def test_key_aux_files(spark, tmp_path):
     rows = [(f"n{i % 3}", sha(i), i * 1000) for i in range(100)]
     df = spark.createDataFrame(rows, "node string, id string, aux long")
