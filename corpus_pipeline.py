@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, a Jaccard similarity of 0.8 or more."""
+    """One document of each group of near-duplicates: SimHash groups, and a Jaccard similarity of 0.8 or more of five-word shingles."""
     return near_text.keep_one(docs)
 
 
