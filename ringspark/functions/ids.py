@@ -229,6 +229,12 @@ def angle(id: Column | str) -> Column:
     return F.conv(F.substring(_c(id), 1, 4), 16, 10).cast("double") / 65535.0 * 2.0 * F.pi()
 
 
+def place(id: Column | str, width: int) -> tuple[Column, Column]:
+    """x and y, whole numbers, of an id on a circle drawn in a square of this width with a margin of 30; zero is at the top."""
+    half, radius = F.lit(width // 2), F.lit((width - 60) / 2)
+    return (half + F.sin(angle(id)) * radius).cast("int"), (half - F.cos(angle(id)) * radius).cast("int")
+
+
 def word_xor(data: Column | str) -> Column:
     """The exclusive or of the little-endian 32-bit words of bytes; bytes after the last whole word don't count."""
     digits = F.hex(_c(data).cast("binary"))

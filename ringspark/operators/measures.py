@@ -169,6 +169,54 @@ def timers(rounds: DataFrame, by: list[str], order: list[str], by_schema: str) -
     return fold(rounds, by, order, lambda r: step((1000.0,), r), step, f"{by_schema}, interval double")
 
 
+def decayed_losses(calls: DataFrame, by: list[str], order: list[str], lost: str, at: str, by_schema: str, half_life: int = 5, most: int = 4) -> DataFrame:
+    """by..., alive, losses: lost calls add one, and losses halve every `half_life` seconds of `at` from the first on
+    (`at` is not negative); with more than `most` a node is dead, and what it loses doesn't count, until it answers again."""
+
+    def step(s: tuple, r: dict) -> tuple:
+        alive, losses, mark = s
+        if not r[lost]:
+            return True, losses, mark
+        if not alive:
+            return s
+        t = int(r[at])
+        gone = 0 if mark < 0 else (t - mark) // half_life
+        losses, mark = (losses >> min(gone, 62)) + 1, t if mark < 0 else mark + half_life * gone
+        return (False, losses, t) if losses > most else (True, losses, mark)
+
+    out = fold(calls, by, order, lambda r: step((True, 0, -1), r), step, f"{by_schema}, alive boolean, losses long, mark long")
+    return out.drop("mark")
+
+
+def budgeted(calls: DataFrame, by: list[str], order: list[str], at: str, cost: str, rate: int, burst: int, by_schema: str) -> DataFrame:
+    """by..., available, sent: a budget that gains `rate` a second of `at`, up to `burst`, from zero on; a call is sent if the budget has its cost."""
+
+    def step(s: tuple, r: dict) -> tuple:
+        available, sent, last = s
+        available = min(burst, available + rate * (int(r[at]) - last))
+        return (available - int(r[cost]), sent + 1, int(r[at])) if available >= r[cost] else (available, sent, int(r[at]))
+
+    return fold(calls, by, order, lambda r: step((0, 0, int(r[at])), r), step, f"{by_schema}, available long, sent long, last long").drop("last")
+
+
+def ages(since_update: Column, age: Column, own: Column, since_start: Column) -> tuple[Column, Column]:
+    """The age of what is known of a node, and how long the node itself is known to be up: 30 seconds at least; a node's own entry never ages."""
+    return F.when(own, age).otherwise(since_update + age), F.greatest(F.when(own, since_start).otherwise(F.lit(0)), F.lit(30))
+
+
+# What a store answers.
+STATUS = {
+    0: "OK", 1: "NOENT", 3: "RETRY", 5: "NOHANDLER", 7: "ERR", 8: "CHORDERR", 9: "RPCERR", 10: "DBERR", 11: "STORE_PARTIAL", 12: "COMPLETE", 13: "CONTINUE",
+    14: "INVALIDVNODE", 15: "RFETCHDONE", 16: "RFETCHFORWARDED", 17: "STORE_NOVERIFY", 18: "STALE", 19: "CACHED", 20: "TIMEDOUT", 21: "RETRIEVE_NOVERIFY", 22: "DISKFULL", 23: "INPROGRESS",
+}
+
+
+def status_name(code: Column) -> Column:
+    """The name of a status; unknown codes are named unknown."""
+    names = F.create_map(*(F.lit(x) for pair in STATUS.items() for x in pair))
+    return F.coalesce(F.try_element_at(names, code.cast("int")), F.lit("unknown"))
+
+
 def freshness(known: Column, age: Column) -> Column:
     """How likely a node that was up for `known` seconds and silent for `age` is still there."""
     return F.try_divide(known.cast("double"), known + age)

@@ -104,15 +104,33 @@ def difference(left: DataFrame, right: DataFrame, low: str | None = None, high:
     return a.join(b, "id", "full_outer").where("a is null or b is null").select("id", F.when(F.col("a").isNull(), "left").otherwise("right").alias("missing"))
 
 
-def pruned_difference(left: DataFrame, right: DataFrame, depth: int = 2) -> DataFrame:
+def pruned_difference(left: DataFrame, right: DataFrame, step: int = 2) -> DataFrame:
     """difference, but keys are compared only under prefixes whose digests differ.
 
-    A digest is a count and a sum of key hashes for each prefix, so summaries (one row a prefix) are compared first, and only
-    keys under the differing ones are shuffled whole.
+    A digest is a count and a sum of key hashes for each prefix, made of partial sums, so only summaries (one row a prefix)
+    are shuffled. As long as a differing prefix holds more keys than a few full nodes, the tree is gone down `step` levels more
+    under the differing ones, and at last only keys under these are shuffled whole. Keys that repeat on one side may
+    cost a comparison, but are no difference.
     """
-    digest = lambda t: t.groupBy(ids.slots("id", depth).alias("prefix")).agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s"))
-    a, b = left.select("id").distinct(), right.select("id").distinct()
-    differ = digest(a).withColumnsRenamed({"n": "n1", "s": "s1"}).join(digest(b), "prefix", "full_outer").where("not (n1 <=> n and s1 <=> s)").select("prefix")
-    differ = save(differ, "differing")
-    under = lambda t: t.withColumn("prefix", ids.slots("id", depth)).join(differ, "prefix", "left_semi")
-    return difference(under(a), under(b))
+    digest = lambda t, d: t.groupBy(ids.slots("id", d).alias("prefix")).agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s"))
+    a, b, depth = left.select("id"), right.select("id"), step
+    while True:
+        both = digest(a, depth).withColumnsRenamed({"n": "n1", "s": "s1"}).join(digest(b, depth), "prefix", "full_outer").where("not (n1 <=> n and s1 <=> s)")
+        differ = save(both.select("prefix", F.greatest("n1", "n").alias("n")), "differing")
+        under = lambda t: t.withColumn("prefix", ids.slots("id", depth)).join(differ.select("prefix"), "prefix", "left_semi").select("id")  # noqa: E731, B023
+        a, b = under(a), under(b)
+        if depth + step >= DEPTH or differ.where(F.col("n") > 16 * FULL).isEmpty():
+            return difference(a, b)
+        depth += step
+
+
+def depths(keys: DataFrame) -> DataFrame:
+    """One row: least, most and mean depth of the leaves of a tree (empty ones too), and keys per node, leaf, non-empty leaf and inner node (null if there is none)."""
+    level = statistics(keys).where("depth is not null")
+    total = F.sum("keys")
+    has = F.when(F.col("leaves") > 0, F.col("depth"))
+    return level.agg(
+        F.min(has).alias("least"), F.max(has).alias("most"), (F.sum(F.col("depth") * F.col("leaves")) / F.sum("leaves")).alias("mean"),
+        (total / F.sum("nodes")).alias("per_node"), (total / F.sum("leaves")).alias("per_leaf"),
+        F.try_divide(total, F.sum("leaves") - F.sum("empty_leaves")).alias("per_used_leaf"), F.try_divide(total, F.sum("inner")).alias("per_inner"),
+    )

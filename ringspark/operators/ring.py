@@ -153,6 +153,38 @@ def coordinate_distance(a: Column, b: Column) -> Column:
     return F.sqrt((a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2) + a["ht"] + b["ht"]
 
 
+def nearest_places(nodes: DataFrame, k: int) -> DataFrame:
+    """id, other, distance (to four digits): the k nearest others of each node by coordinates (id, x, y, ht); ties by other.
+
+    The plane is cut into cells, and a node is compared with those of its own and the eight cells around it. What lies
+    beyond is at least a cell's side away, so a node whose k-th distance is below that is settled; the others go on with
+    cells of twice the side, until nine hold all. Nodes at one place are compared with each other.
+    """
+    from ringspark.operators.tables import save
+
+    all_ = save(nodes.select("id", "x", "y", "ht"), "places")
+    box = all_.agg(F.count("*").alias("n"), F.max(F.col("x")) - F.min("x"), F.max(F.col("y")) - F.min("y"), F.min("ht").alias("low")).first()
+    span = max(box[1] or 0.0, box[2] or 0.0, 1e-6)
+    side, open_, done = span * ((k + 1) / max(box["n"], 1)) ** 0.5, all_, []
+    place, order = F.struct("x", "y", "ht"), Window.partitionBy("id").orderBy("distance", "other")
+    near = F.array(*map(F.lit, (-1, 0, 1)))
+    while True:
+        cell = lambda c: F.floor(F.col(c) / side)  # noqa: E731, B023
+        a = open_.select("id", place.alias("a"), cell("x").alias("cx"), cell("y").alias("cy")).withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near))
+        b = all_.select(F.col("id").alias("other"), place.alias("b"), cell("x").alias("cx"), cell("y").alias("cy"))
+        pairs = a.select("id", "a", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy")).join(b, ["cx", "cy"]).where("id <> other")
+        pairs = pairs.select("id", "other", F.round(coordinate_distance(F.col("a"), F.col("b")), 4).alias("distance"))
+        best = save(pairs.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k).drop("at"), "nearest")
+        if side > span:
+            return functools.reduce(DataFrame.union, [*done, best])
+        kth = best.groupBy("id").agg(F.count("*").alias("n"), F.max("distance").alias("kth"))
+        settled = kth.join(open_, "id").where((F.col("n") == k) & (F.col("kth") < side + F.col("ht") + box["low"] - 1e-3)).select("id")
+        done.append(best.join(settled, "id", "left_semi"))
+        open_, side = save(open_.join(settled, "id", "left_anti"), "open"), side * 2
+        if open_.isEmpty():
+            return functools.reduce(DataFrame.union, done)
+
+
 def pinned(nodes: DataFrame, pins: DataFrame, succs: int, preds: int) -> DataFrame:
     """The ids that stay in a table of nodes: pins (column id), and the nodes around each of them."""
     around = successors(nodes, succs).union(successors(nodes, preds, -1))
@@ -170,22 +202,34 @@ def size_estimate(nodes: DataFrame, k: int) -> DataFrame:
     return far.select("id", (F.lit(float(1 << 160)) * F.col("k") / ids.as_double(ids.subtract("last", "id"))).alias("estimate"))
 
 
-def routes(lookups: DataFrame, nodes: DataFrame, mode: str = "fingers", succs: int = 4, stop: Column | None = None) -> DataFrame:
+def routes(lookups: DataFrame, nodes: DataFrame, mode: str = "fingers", succs: int = 4, stop: Column | None = None, dead: DataFrame | None = None) -> DataFrame:
     """lookups (src, key) with path, owner, hops: each step goes to the furthest known node before the key.
 
     All lookups advance together: a round is one equi-join of the unfinished ones with the table of known nodes, by the
     node they stand at. `stop`, a condition on columns cur and key, may end a lookup early. Rounds are written to the
     shared folder, so lineage stays short.
+
+    dead: nodes (id) that others still know but that don't answer; nodes are the living ones. A lookup then asks the known
+    nodes from the furthest on until one answers, and has a column failed: the dead ones it asked, each once, in order of
+    id. Each node's next living node is always known.
     """
     from ringspark.operators.tables import save
 
-    table = successors(nodes, succs).select("id", "neighbour")
+    listed = nodes.select("id") if dead is None else nodes.select("id").union(dead.select("id")).distinct()
+    table = successors(listed, succs).select("id", "neighbour")
     if mode == "fingers":
-        table = table.union(fingers(nodes).where("finger <> id").select("id", "finger")).distinct()
-    known = table.groupBy("id").agg(F.collect_set("neighbour").alias("known"))  # at most succs + 160 entries
+        table = table.union(fingers(listed).where("finger <> id").select("id", "finger"))
+    none = F.array().cast("array<string>")
     first = neighbours(nodes).select(F.col("id").alias("at"), "succ")
-    step = save(first.join(known, known.id == first.at, "left").select("at", F.coalesce("known", F.array().cast("array<string>")).alias("known"), "succ"), "routing")
-    open_ = lookups.select("src", "key", F.col("src").alias("cur"), F.array().cast("array<string>").alias("path"))
+    if dead is None:
+        table = table.withColumn("gone", F.lit(False))
+    else:
+        table = table.join(dead.select(F.col("id").alias("neighbour"), F.lit(True).alias("gone")).distinct(), "neighbour", "left").select("id", "neighbour", F.coalesce("gone", F.lit(False)).alias("gone"))
+        table = table.union(first.where("at <> succ").select("at", "succ", F.lit(False)))
+    of = lambda gone: F.collect_set(F.when(F.col("gone") == gone, F.col("neighbour")))
+    known = table.groupBy("id").agg(of(False).alias("known"), of(True).alias("lost"))  # at most succs + 161 entries
+    step = save(first.join(known, known.id == first.at, "left").select("at", F.coalesce("known", none).alias("known"), F.coalesce("lost", none).alias("lost"), "succ"), "routing")
+    open_ = lookups.select("src", "key", F.col("src").alias("cur"), none.alias("path"), none.alias("failed"))
     done = []
     while True:
         here = open_.join(step, F.col("cur") == F.col("at"))
@@ -194,9 +238,16 @@ def routes(lookups: DataFrame, nodes: DataFrame, mode: str = "fingers", succs: i
             ends = ends | stop
         here = here.withColumn("ends", ends).withColumn("path", F.concat("path", F.array("cur")))
         # the furthest clockwise from cur: those past zero come last, else in order of ids
-        far = F.array_max(F.transform(F.filter("known", lambda x: ids.between("cur", "key", x)), lambda x: F.struct((x < F.col("cur")).alias("past"), x.alias("id"))))["id"]
-        here = save(here.select("src", "key", "cur", "path", "succ", "ends", F.when(~F.col("ends"), far).alias("far")), "frontier")
-        done.append(here.where("ends").select("src", "key", F.concat("path", F.when(F.col("cur") == F.col("succ"), F.array().cast("array<string>")).otherwise(F.array("succ"))).alias("path"), F.col("succ").alias("owner")))
-        open_ = here.where("not ends").select("src", "key", F.col("far").alias("cur"), "path")
+        ahead = lambda c: F.transform(F.filter(c, lambda x: ids.between("cur", "key", x)), lambda x: F.struct((x < F.col("cur")).alias("past"), x.alias("id")))
+        here = here.withColumn("far", F.when(~F.col("ends"), F.array_max(ahead("known"))))
+        if dead is not None:
+            asked = F.transform(F.filter(ahead("lost"), lambda x: x > F.col("far")), lambda x: x["id"])
+            here = here.withColumn("failed", F.array_union("failed", F.coalesce(asked, none)))
+        here = save(here.select("src", "key", "cur", "path", "failed", "succ", "ends", F.col("far.id").alias("far")), "frontier")
+        last = F.when(F.col("cur") == F.col("succ"), none).otherwise(F.array("succ"))
+        done.append(here.where("ends").select("src", "key", F.concat("path", last).alias("path"), F.col("succ").alias("owner"), "failed"))
+        open_ = here.where("not ends").select("src", "key", F.col("far").alias("cur"), "path", "failed")
         if open_.isEmpty():  # each step comes nearer to the key, so all end
-            return functools.reduce(DataFrame.union, done).select("src", "key", "path", "owner", (F.size("path") - 1).cast("long").alias("hops"))
+            all_ = functools.reduce(DataFrame.union, done)
+            more = [] if dead is None else [F.sort_array("failed").alias("failed")]
+            return all_.select("src", "key", "path", "owner", (F.size("path") - 1).cast("long").alias("hops"), *more)

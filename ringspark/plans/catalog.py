@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from ringspark.plans import more_queries, repair_queries, ring_queries, store_queries, view_queries
+from ringspark.plans import more_queries, repair_queries, ring_queries, state_queries, store_queries, view_queries
 
-MODULES = (ring_queries, store_queries, repair_queries, view_queries, more_queries)
+MODULES = (ring_queries, store_queries, repair_queries, view_queries, more_queries, state_queries)
 
 
 def queries() -> dict[str, Callable]:

@@ -84,14 +84,8 @@ _DIST = "sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) + a.ht + b.ht"
 
 @query(f"with {d.COORDINATES}, p as (select a.id, b.id as other, round({_DIST}, 4) as distance from places a join places b on a.id <> b.id) select id, other, distance from p qualify row_number() over (partition by id order by distance, other) <= 3")
 def coordinate_topk(spark, sf):
-    """The three nearest nodes of each node by coordinates: all pairs of nodes, which are few against keys."""
-    from pyspark.sql import Window
-
-    c = d.coordinates(spark, sf)
-    a = c.select("id", F.struct("x", "y", "ht").alias("a"))
-    b = c.select(F.col("id").alias("other"), F.struct("x", "y", "ht").alias("b"))
-    p = a.join(b, F.col("id") != F.col("other")).select("id", "other", F.round(ring.coordinate_distance(F.col("a"), F.col("b")), 4).alias("distance"))
-    return p.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))).where("at <= 3").drop("at")
+    """The three nearest nodes of each node by coordinates."""
+    return ring.nearest_places(d.coordinates(spark, sf), 3)
 
 
 _REPLICA_RANK = d.REPLICAS + ", places as (" + d.COORDINATES.partition("places as (")[2]

@@ -68,14 +68,25 @@ def sessions(stream: DataFrame, idle: str = "1200 seconds", late: str = "10 minu
 def liveness(stream: DataFrame) -> DataFrame:
     """user_id, alive, losses, seen: an error is a loss, all else clears them; after more than four in a row a node is dead.
 
-    Rows of one trigger are taken in order of (ts, event_id); the state is two numbers a user.
+    Rows of one trigger are taken in order of (ts, event_id); the state is two numbers a user. Of a user's rows in a
+    trigger only the moments of errors after the last good row are held.
     """
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         losses, seen = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        for kind in rows["event_type"]:
-            losses, seen = (losses + 1 if kind == "error" else 0), seen + 1
+        good, after = None, pd.DataFrame()
+        for rows in parts:
+            seen += len(rows)
+            fine = rows[rows["event_type"] != "error"]
+            if len(fine):
+                last = fine.sort_values(["ts", "event_id"]).iloc[-1]
+                last = (last["ts"], last["event_id"])
+                good = last if good is None else max(good, last)
+            bad = rows.loc[rows["event_type"] == "error", ["ts", "event_id"]]
+            after = pd.concat([after, bad]) if len(after) else bad
+            if good is not None:
+                after = after[(after["ts"] > good[0]) | ((after["ts"] == good[0]) & (after["event_id"] > good[1]))]
+        losses = len(after) + (losses if good is None else 0)
         state.update((losses, seen))
         yield pd.DataFrame({"user_id": [key[0]], "alive": [losses <= DEAD_AFTER], "losses": [losses], "seen": [seen]})
 
