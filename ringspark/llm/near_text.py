@@ -106,13 +106,51 @@ def led(heavy: DataFrame, have: DataFrame) -> tuple[DataFrame, DataFrame]:
     return near, save(rest, "text-rest")
 
 
+def most_frequent(sets: DataFrame, bucket: int, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that more than `bucket` texts of sets (sh) share, in order, and by how many; of the most frequent `most` at most.
+
+    Only their counts are compared, by steps of a fourth of a power of two, so those that few texts share are left out first.
+    """
+    step = F.floor(F.log2("many") * 4).cast("int").alias("step")
+    counts = sets.select(F.explode("sh").alias("sh")).groupBy("sh").agg(F.count("*").alias("many")).where(F.col("many") > bucket)
+    counts = save(counts.select("sh", "many", step), "text-common")
+    least, room = None, most
+    for x in sorted(counts.groupBy("step").agg(F.count("*").alias("n")).collect(), reverse=True):  # 4 * 63 rows at most
+        room -= x["n"]
+        if room < 0:
+            break
+        least = x["step"]
+    found = counts.where(F.lit(False) if least is None else F.col("step") >= least).select("sh", "many").toPandas().sort_values("sh")
+    return found["sh"].to_numpy(dtype=np.int64), found["many"].to_numpy(dtype=np.int64)
+
+
+def in_order(frequent: np.ndarray, many: np.ndarray):
+    """A column function: shingles, those that aren't frequent first, then by how many texts share them; ties by value."""
+
+    @F.pandas_udf("array<long>")
+    def of(sets: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in sets:
+            out = []
+            for s in batch:
+                sh, often = np.asarray(s, dtype=np.int64), np.zeros(len(s), dtype=np.int64)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, sh), len(frequent) - 1)
+                    often = np.where(frequent[at] == sh, many[at], 0)
+                out.append(sh[np.lexsort((sh, often))])
+            yield pd.Series(out, dtype=object)
+
+    return of
+
+
 def rare_first(texts: DataFrame, have: DataFrame, bucket: int) -> DataFrame:
-    """(tid, n, at, sh): of each text the shingles of which a near one shares one at least, those that few texts have first; at is the place."""
-    each = texts.join(have, "tid").select("tid", "n", F.explode("sh").alias("sh"))
-    common = each.groupBy("sh").agg(F.count("*").alias("many")).where(F.col("many") > bucket)
-    ranked = each.join(common, "sh", "left").groupBy("tid", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("many", F.lit(0)).alias("many"), "sh"))).alias("all"))
+    """(tid, n, at, sh): of each text the shingles of which a near one shares one at least, those that few texts have first; at is the place.
+
+    The order is the same for all texts, whatever shingles count as frequent, and any such order finds all near texts.
+    """
+    wide = save(texts.join(have, "tid").select("tid", "n", "sh"), "text-wide")
     need = F.col("n") + 1 - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR).cast("int")
-    return ranked.select("tid", "n", F.posexplode(F.slice("all", F.lit(1), need)).alias("at", "x")).select("tid", "n", "at", "x.sh")
+    ranked = wide.select("tid", "n", in_order(*most_frequent(wide, bucket))("sh").alias("all"))
+    return ranked.select("tid", "n", F.posexplode(F.slice("all", F.lit(1), need)).alias("at", "sh"))
 
 
 def stray_links(heavy: DataFrame, have: DataFrame, roots: DataFrame, bucket: int) -> DataFrame | None:

@@ -160,6 +160,16 @@ def test_pipeline_keeps_one_near_copy(spark, bucket):
     assert kept.columns == docs.columns and near_text.keep_one(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("most", "frequent", "ordered"), [(9, [1, 2], [[3, 2, 1], [-4, 2, 1], [5, 1], []]), (1, [1], [[2, 3, 1], [-4, 2, 1], [5, 1], []]), (0, [], [[1, 2, 3], [-4, 1, 2], [1, 5], []])])
+def test_shingles_that_few_texts_share_come_first(spark, most, frequent, ordered):
+    from ringspark.llm import near_text
+
+    sets = spark.createDataFrame([(0, [1, 2, 3]), (1, [-4, 1, 2]), (2, [1, 5]), (3, [])], "tid long, sh array<long>")
+    found, many = near_text.most_frequent(sets, 1, most)
+    assert found.tolist() == frequent and many.tolist() == [3, 2][: len(frequent)]
+    assert [x[0] for x in sets.orderBy("tid").select(near_text.in_order(found, many)("sh")).collect()] == ordered
+
+
 # --- decontamination
 
 
