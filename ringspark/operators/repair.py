@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ringspark.functions import ids
 from ringspark.operators import ring
+from ringspark.operators.tables import save
 
 
 def replica_counts(holdings: DataFrame) -> DataFrame:
@@ -35,13 +36,17 @@ def prefix_repairs(holdings: DataFrame, keys: DataFrame, nodes: DataFrame, width
 
 def other_hosts(nodes: DataFrame) -> DataFrame:
     """id, side (0: after, 1: before), src: the nearest node of another host each way around, however many of one host follow each other."""
-    order = Window.orderBy("id")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ring_ = nodes.select("id", "host", F.coalesce(F.lag("id").over(order), F.last("id").over(whole)).alias("pred"), F.coalesce(F.lag("host").over(order), F.last("host").over(whole)).alias("before"))
-    begins = F.when(F.col("host") != F.col("before"), F.struct("id", "pred"))  # where a run of nodes of one host begins
-    after = F.coalesce(F.min(begins).over(order.rowsBetween(1, Window.unboundedFollowing)), F.min(begins).over(whole))
-    own = F.coalesce(F.max(begins).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.max(begins).over(whole))
-    found = ring_.select("id", F.array(F.struct(F.lit(0).alias("side"), after["id"].alias("src")), F.struct(F.lit(1).alias("side"), own["pred"].alias("src"))).alias("both"))
+    at = ring.parts(nodes.select("id", "host").join(ring.neighbours(nodes).select("id", "pred"), "id").join(nodes.select(F.col("id").alias("pred"), F.col("host").alias("before")), "pred"))
+    at = at.select("part", "id", F.when(F.col("host") != F.col("before"), F.struct("id", "pred")).alias("begins"))  # where a run of nodes of one host begins
+    up, down = Window.partitionBy("part").orderBy("id"), Window.partitionBy("part").orderBy(F.desc("id"))
+    upto, above = Window.orderBy("part"), Window.orderBy(F.desc("part"))
+    ends = at.groupBy("part").agg(F.min("begins").alias("first"), F.max("begins").alias("last"))
+    ends = ends.select("part", F.min("first").over(above.rowsBetween(Window.unboundedPreceding, -1)).alias("later"), F.max("last").over(upto.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.min("first").over(Window.partitionBy(F.lit(0))).alias("least"), F.max("last").over(Window.partitionBy(F.lit(0))).alias("most"))
+    # frames that begin at the part's start cost one step a row; frames that end at its end would start anew for each
+    after = F.coalesce(F.min("begins").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.col("later"), F.col("least"))
+    own = F.coalesce(F.max("begins").over(up.rowsBetween(Window.unboundedPreceding, 0)), F.col("earlier"), F.col("most"))
+    ring_ = at.join(F.broadcast(ends), "part").select("id", after.alias("after"), own.alias("own"))  # one row a part
+    found = ring_.select("id", F.array(F.struct(F.lit(0).alias("side"), F.col("after.id").alias("src")), F.struct(F.lit(1).alias("side"), F.col("own.pred").alias("src"))).alias("both"))
     return found.select("id", F.inline("both")).where("src is not null")
 
 
@@ -50,12 +55,13 @@ def neighbour_repairs(holdings: DataFrame, nodes: DataFrame, preds: int) -> Data
 
     The range goes from the preds-th node before it to the node itself. If both hold the key, the next node gives it.
     """
+    held = save(holdings.select("node", "key").distinct(), "held")
     low = ring.successors(nodes.select("id"), preds, -1).where(F.col("position") == preds).select("id", F.col("neighbour").alias("low"))
     sources = other_hosts(nodes).join(low, "id", "left")
-    offered = sources.join(holdings.select(F.col("node").alias("src"), "key").distinct(), "src")
+    offered = sources.join(held.select(F.col("node").alias("src"), "key"), "src")
     offered = offered.where(F.when(F.col("low").isNull(), F.lit(True)).otherwise(ids.between_right("low", "id", "key")))
     best = offered.groupBy(F.col("id").alias("node"), "key").agg(F.min_by("src", "side").alias("src"))
-    return best.join(holdings.select("node", "key").distinct(), ["node", "key"], "left_anti")
+    return best.join(held, ["node", "key"], "left_anti")
 
 
 def misplaced(holdings: DataFrame, nodes: DataFrame, preds: int) -> DataFrame:

@@ -16,22 +16,42 @@ from pyspark.sql import functions as F
 from ringspark.functions import ids
 
 
+def parts(nodes: DataFrame, digits: int = 3) -> DataFrame:
+    """nodes with part, their leading digits: windows over nodes are taken within parts, and what goes on over a part's border comes from one row a part."""
+    return nodes.withColumn("part", F.substring("id", 1, digits))
+
+
 def ranked(nodes: DataFrame) -> DataFrame:
-    """nodes with rank (from 0 in order of id) and n (their number). One row a node; keys never come here."""
-    order = Window.orderBy("id")
-    return nodes.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).withColumn("n", F.count("*").over(Window.partitionBy(F.lit(0))))
+    """nodes with rank (from 0 in order of id) and n (their number). Nodes are ranked by part; only the parts (4096 at most) are in one window."""
+    at = parts(nodes)
+    all_ = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    below = at.groupBy("part").agg(F.count("*").alias("own")).select("part", F.coalesce(F.sum("own").over(upto), F.lit(0)).alias("below"), F.sum("own").over(all_).alias("n"))
+    rank = F.col("below") + F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1
+    return at.join(F.broadcast(below), "part").select(*nodes.columns, rank.cast("long").alias("rank"), "n")
 
 
 def neighbours(nodes: DataFrame) -> DataFrame:
     """id, pred, succ: the neighbours of each node around the circle; a single node is its own."""
-    order = Window.orderBy("id")
+    at = parts(nodes.select("id"))
+    order = Window.orderBy("part")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    pred = F.coalesce(F.lag("id").over(order), F.last("id").over(whole))
-    succ = F.coalesce(F.lead("id").over(order), F.first("id").over(whole))
-    return nodes.select("id", pred.alias("pred"), succ.alias("succ"))
+    ends = at.groupBy("part").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    ends = ends.select("part", F.coalesce(F.lag("last").over(order), F.last("last").over(whole)).alias("before"), F.coalesce(F.lead("first").over(order), F.first("first").over(whole)).alias("after"))
+    own = Window.partitionBy("part").orderBy("id")
+    found = at.join(F.broadcast(ends), "part")  # one row a part
+    return found.select("id", F.coalesce(F.lag("id").over(own), F.col("before")).alias("pred"), F.coalesce(F.lead("id").over(own), F.col("after")).alias("succ"))
+
+
+def digits_for(nodes: DataFrame) -> int:
+    """As many leading digits as leave a bucket 16 nodes at most on average, two at least: a key is compared with a bucket's nodes."""
+    n, digits = nodes.count(), 2
+    while 16 ** (digits + 1) <= n and digits < 7:
+        digits += 1
+    return digits
 
 
-def intervals(nodes: DataFrame, digits: int = 2) -> DataFrame:
+def intervals(nodes: DataFrame, digits: int) -> DataFrame:
     """bucket, low, high, owner, pred: the pieces of (pred, owner] in each bucket of leading digits; low < key <= high."""
     ring = neighbours(nodes)
     one = F.col("pred") >= F.col("id")  # the interval goes over zero (or all around)
@@ -44,11 +64,13 @@ def intervals(nodes: DataFrame, digits: int = 2) -> DataFrame:
     return pieces.where("low < high").select(F.explode(buckets).alias("bucket"), "low", "high", "owner", "pred")
 
 
-def owners(keys: DataFrame, nodes: DataFrame, key: str = "key", digits: int = 2) -> DataFrame:
+def owners(keys: DataFrame, nodes: DataFrame, key: str = "key", digits: int | None = None) -> DataFrame:
     """keys with owner (first node at or after the key) and owner_pred (last node strictly before it).
 
-    nodes: the living ones, column id. Without nodes no row is left. A null key has no owner and no row.
+    nodes: the living ones, column id. Without nodes no row is left. A null key has no owner and no row. digits: of the
+    buckets, by the number of nodes if not given.
     """
+    digits = digits or digits_for(nodes)
     pieces = intervals(nodes.select("id").distinct(), digits)
     # a bucket that can't be null spares Spark a filter that would take the key's expression once more
     at = keys.withColumn("ring_bucket", F.coalesce(F.conv(F.substring(key, 1, digits), 16, 10).cast("int"), F.lit(-1)))
@@ -99,7 +121,7 @@ def successors(nodes: DataFrame, k: int, step: int = 1) -> DataFrame:
     return far.withColumn("to", to).join(other, "to").select("id", "position", "neighbour")
 
 
-def replicas(keys: DataFrame, nodes: DataFrame, fetch: int, put: int, key: str = "key", digits: int = 2) -> DataFrame:
+def replicas(keys: DataFrame, nodes: DataFrame, fetch: int, put: int, key: str = "key", digits: int | None = None) -> DataFrame:
     """keys with replica (from 0), node, host: the owner and what follows it, one node a host, at most `put` of the first `fetch`.
 
     nodes: id, host (the living ones). The list of an owner is made once for each node, not for each key.
@@ -115,7 +137,7 @@ def replicas(keys: DataFrame, nodes: DataFrame, fetch: int, put: int, key: str =
     return owned.join(chosen.select("owner", "replica", "node", "host"), "owner")
 
 
-def fingers(nodes: DataFrame, bits: int = ids.BITS, digits: int = 2) -> DataFrame:
+def fingers(nodes: DataFrame, bits: int = ids.BITS, digits: int | None = None) -> DataFrame:
     """id, i, start, finger: the owner of id + 2^i for the highest `bits` powers."""
     from ringspark.operators.tables import save
 
