@@ -175,29 +175,43 @@ def coordinate_distance(a: Column, b: Column) -> Column:
     return F.sqrt((a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2) + a["ht"] + b["ht"]
 
 
-def nearest_places(nodes: DataFrame, k: int) -> DataFrame:
+def nearest_places(nodes: DataFrame, k: int, chunk: int = 32) -> DataFrame:
     """id, other, distance (to four digits): the k nearest others of each node by coordinates (id, x, y, ht); ties by other.
 
-    The plane is cut into cells, and a node is compared with those of its own and the eight cells around it. What lies
-    beyond is at least a cell's side away, so a node whose k-th distance is below that is settled; the others go on with
-    cells of twice the side, until nine hold all. Nodes at one place are compared with each other.
+    The plane is cut into cells, and a node is compared with those of its own and the eight cells around it, as far as their
+    heights are below the least one and a cell's side. What lies beyond or above is at least a side away, so a node whose
+    k-th distance is below that is settled; the others go on with cells of twice the side, until nine hold all. Nodes at one
+    place are compared with each other. A cell's nodes are listed in rows of `chunk`, and of each row a node keeps its k
+    nearest: pairs are neither sorted nor shuffled.
     """
-    from ringspark.operators.tables import save
+    from ringspark.operators.tables import save, spread
 
     all_ = save(nodes.select("id", "x", "y", "ht"), "places")
-    box = all_.agg(F.count("*").alias("n"), F.max(F.col("x")) - F.min("x"), F.max(F.col("y")) - F.min("y"), F.min("ht").alias("low")).first()
+    box = all_.agg(F.count("*").alias("n"), F.max(F.col("x")) - F.min("x"), F.max(F.col("y")) - F.min("y"), F.min("ht").alias("low"), F.max("ht").alias("high")).first()
     span = max(box[1] or 0.0, box[2] or 0.0, 1e-6)
-    side, open_, done = span * ((k + 1) / max(box["n"], 1)) ** 0.5, all_, []
+    if not box["n"]:
+        return all_.select("id", F.col("id").alias("other"), F.lit(0.0).alias("distance"))
+    side, open_, done = span * ((k + 1) / box["n"]) ** 0.5, all_, []
+    high = (box["high"] or 0.0) - (box["low"] or 0.0)
+    if high > side:
+        side = (side * side * high) ** (1 / 3)  # so that a cell up to this height holds about k + 1
     place, order = F.struct("x", "y", "ht"), Window.partitionBy("id").orderBy("distance", "other")
     near = F.array(*map(F.lit, (-1, 0, 1)))
     while True:
         cell = lambda c: F.floor(F.col(c) / side)  # noqa: E731, B023
+        last = side > span
         a = open_.select("id", place.alias("a"), cell("x").alias("cx"), cell("y").alias("cy")).withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near))
-        b = all_.select(F.col("id").alias("other"), place.alias("b"), cell("x").alias("cx"), cell("y").alias("cy"))
-        pairs = a.select("id", "a", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy")).join(b, ["cx", "cy"]).where("id <> other")
-        pairs = pairs.select("id", "other", F.round(coordinate_distance(F.col("a"), F.col("b")), 4).alias("distance"))
-        best = save(pairs.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k).drop("at"), "nearest")
-        if side > span:
+        a = a.select("id", "a", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
+        a = spread(a, "cx", "cy", tasks=9 * k * box["n"] // 1_000_000)
+        b = all_ if last else all_.where(F.col("ht") < box["low"] + side)
+        b = b.select(F.struct("id", "x", "y", "ht").alias("b"), cell("x").alias("cx"), cell("y").alias("cy"))
+        b = b.withColumn("row", F.floor((F.row_number().over(Window.partitionBy("cx", "cy").orderBy("b.ht")) - 1) / chunk))
+        b = b.groupBy("cx", "cy", "row").agg(F.collect_list("b").alias("listed"))  # chunk at most
+        far = lambda x: F.round(coordinate_distance(F.col("a"), x), 4)
+        of = F.transform(F.filter("listed", lambda x: x["id"] != F.col("id")), lambda x: F.struct(far(x).alias("distance"), x["id"].alias("other")))
+        pairs = a.join(b, ["cx", "cy"]).select("id", F.inline(F.slice(F.sort_array(of), 1, k)))
+        best = save(pairs.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k).select("id", "other", "distance"), "nearest")
+        if last:
             return functools.reduce(DataFrame.union, [*done, best])
         kth = best.groupBy("id").agg(F.count("*").alias("n"), F.max("distance").alias("kth"))
         settled = kth.join(open_, "id").where((F.col("n") == k) & (F.col("kth") < side + F.col("ht") + box["low"] - 1e-3)).select("id")

@@ -25,3 +25,8 @@ def save(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *by: str, tasks: int = 0) -> DataFrame:
+    """df dealt over four tasks a core, or more if so many are asked for: for few rows that are multiplied next, which Spark would leave in the tasks of a small file."""
+    return df.repartition(max(tasks, 4 * df.sparkSession.sparkContext.defaultParallelism), *by)

@@ -2,7 +2,7 @@
 
 import random
 
-from ringspark.operators import repair, ring
+from ringspark.operators import repair, ring, tables, views
 
 
 def plan(df):
@@ -30,3 +30,15 @@ def test_ranks_over_parts(spark):
     assert got == [(v, i, 200) for i, v in enumerate(values)]
     near = {r["id"]: (r["pred"], r["succ"]) for r in ring.neighbours(spark.createDataFrame([(v,) for v in values], "id string")).collect()}
     assert near == {v: (values[i - 1], values[(i + 1) % 200]) for i, v in enumerate(values)}
+
+
+def test_nearest_places_against_all_pairs(spark):
+    r = random.Random(4)
+    nodes = [(v, r.uniform(0, 50), r.uniform(0, 50), r.choice([0.0, 5.0, 60.0])) for v in ids_of(150)] + [(v, 7.0, 7.0, 1.0) for v in ids_of(80, 3)]
+    got = {}
+    for row in ring.nearest_places(spark.createDataFrame(nodes, "id string, x double, y double, ht double"), 3).collect():
+        got.setdefault(row["id"], []).append((row["distance"], row["other"]))
+    for a in nodes:
+        all_ = sorted((round(((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5 + a[3] + b[3], 4), b[0]) for b in nodes if b[0] != a[0])
+        assert [x for x, _ in sorted(got[a[0]])] == [x for x, _ in all_[:3]]
+    assert ring.nearest_places(spark.createDataFrame([], "id string, x double, y double, ht double"), 3).count() == 0
