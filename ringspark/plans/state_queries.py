@@ -102,7 +102,9 @@ def place_to_node(spark, sf):
     """The drawn node that is nearest to each of 49 points of the picture, the lowest id of several."""
     off = (F.col("px") - F.col("x")) * (F.col("px") - F.col("x")) + (F.col("py") - F.col("y")) * (F.col("py") - F.col("y"))
     clicks = spark.range(49).select((F.floor(F.col("id") / 7) * 100).alias("px"), (F.col("id") % 7 * 100).alias("py"))
-    at = ring_places(spark, sf).crossJoin(F.broadcast(clicks))  # 49 rows
+    # each pixel's lowest id first: the circle has as many pixels, however many nodes are drawn
+    pixels = ring_places(spark, sf).groupBy("x", "y").agg(F.min("id").alias("id"))
+    at = pixels.crossJoin(F.broadcast(clicks))  # 49 rows
     return at.groupBy("px", "py").agg(F.min_by("id", F.struct(off, "id")).alias("id"))
 
 

@@ -54,3 +54,11 @@ def test_nearest_in_range_pairs_no_range_with_all_nodes(spark):
         inside = [v for v in values if v != src and (src == stop or (src < v <= stop if src < stop else v > src or v <= stop))]
         inside.sort(key=lambda v: (v < src, v))
         assert [got.get((src, i + 1)) for i in range(5)] == (inside[:5] + [None] * 5)[:5]
+
+
+def test_place_to_node_multiplies_pixels_not_nodes(spark):
+    from ringspark.plans import catalog
+
+    p = plan(catalog.queries()["place_to_node"](spark, "/root/testdata/sf0.001"))
+    below = p[p.index("Join Cross" if "Join Cross" in p else "Join Inner"):]
+    assert "Aggregate [x" in below
