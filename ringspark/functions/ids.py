@@ -56,7 +56,7 @@ def joined(parts: list[Column]) -> Column:
 WIDE = ((1, 13), (14, 13), (27, 14))
 
 
-def _wide(id: Column | str) -> list[Column]:
+def wide(id: Column | str) -> list[Column]:
     return [F.conv(F.substring(_c(id), at, n), 16, 10).cast("long") for at, n in WIDE]
 
 
@@ -66,8 +66,13 @@ def _wide_joined(parts: list[Column]) -> Column:
 
 def add(a: Column | str, b: Column | str) -> Column:
     """(a + b) mod 2^160."""
+    return add_wide(wide(a), wide(b))
+
+
+def add_wide(a: list[Column], b: list[Column]) -> Column:
+    """add of two ids that are taken apart already."""
     out, carry = [], None
-    for x, y, (_, n) in zip(reversed(_wide(a)), reversed(_wide(b)), reversed(WIDE), strict=True):
+    for x, y, (_, n) in zip(reversed(a), reversed(b), reversed(WIDE), strict=True):
         total = x + y if carry is None else x + y + carry
         out.append(total.bitwiseAND(F.lit((1 << 4 * n) - 1)))
         carry = F.shiftright(total, 4 * n)
@@ -76,8 +81,13 @@ def add(a: Column | str, b: Column | str) -> Column:
 
 def subtract(a: Column | str, b: Column | str) -> Column:
     """(a - b) mod 2^160."""
+    return subtract_wide(wide(a), wide(b))
+
+
+def subtract_wide(a: list[Column], b: list[Column]) -> Column:
+    """subtract of two ids that are taken apart already."""
     out, borrow = [], None
-    for x, y, (_, n) in zip(reversed(_wide(a)), reversed(_wide(b)), reversed(WIDE), strict=True):
+    for x, y, (_, n) in zip(reversed(a), reversed(b), reversed(WIDE), strict=True):
         total = x - y if borrow is None else x - y + borrow
         out.append(total.bitwiseAND(F.lit((1 << 4 * n) - 1)))
         borrow = F.shiftright(total, 63)  # -1 below zero

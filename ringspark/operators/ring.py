@@ -152,6 +152,17 @@ def distinct_fingers(nodes: DataFrame, bits: int = ids.BITS) -> DataFrame:
     return fingers(nodes, bits).where("finger <> id").groupBy("id", "finger").agg(F.min("i").alias("i"))
 
 
+def power_steps(nodes: DataFrame) -> DataFrame:
+    """id, p, after, before: id + 2^p and id - 2^p for all 160 powers. The parts of an id are taken once a node, and nodes are dealt before they are multiplied."""
+    from ringspark.operators.tables import spread
+
+    each = spread(nodes.select("id"), "id").select("id", F.array(*ids.wide("id")).alias("own"))
+    powers = nodes.sparkSession.range(ids.BITS).select(F.col("id").cast("int").alias("p"), F.array(*ids.wide(ids.power("id"))).alias("power"))
+    both = each.crossJoin(F.broadcast(powers))  # 160 rows
+    own, power = ([F.col(c)[i] for i in range(3)] for c in ("own", "power"))
+    return both.select("id", "p", ids.add_wide(own, power).alias("after"), ids.subtract_wide(own, power).alias("before"))
+
+
 def nearest_fingers(nodes: DataFrame, near: int = 4, bits: int = 8) -> DataFrame:
     """id, i, finger, proximity: of the finger and the `near` nodes after it that still precede the next start, that of least distance.
 

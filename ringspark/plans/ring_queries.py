@@ -72,8 +72,7 @@ def id_inc_dec(spark, sf):
 
 @query(f"with {d.LIVING}, s as (select id, p, {d.sql_power('p')} as pw from living, (select unnest(range(160))::BIGINT as p) r) select id, p::INT as p, {d.sql_add('id', 'pw')} as after, {d.sql_subtract('id', 'pw')} as before from s")
 def finger_starts(spark, sf):
-    n = d.living(spark, sf).select("id", F.explode(F.sequence(F.lit(0), F.lit(159))).alias("p"))
-    return n.select("id", "p", ids.add("id", ids.power("p")).alias("after"), ids.subtract("id", ids.power("p")).alias("before"))
+    return ring.power_steps(d.living(spark, sf))
 
 
 @query(f"with {d.OWNED} select \"key\", {d.sql_distance('\"key\"', 'owner')} as gap, {d.sql_distance('\"key\"', '\"key\"')} as whole from owned")

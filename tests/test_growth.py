@@ -62,3 +62,12 @@ def test_place_to_node_multiplies_pixels_not_nodes(spark):
     p = plan(catalog.queries()["place_to_node"](spark, "/root/testdata/sf0.001"))
     below = p[p.index("Join Cross" if "Join Cross" in p else "Join Inner"):]
     assert "Aggregate [x" in below
+
+
+def test_power_steps_are_dealt_before_they_are_multiplied(spark):
+    nodes = spark.createDataFrame([(v,) for v in ["0" * 40, "f" * 40, *ids_of(5)]], "id string").coalesce(1)
+    out = ring.power_steps(nodes)
+    assert out.rdd.getNumPartitions() > 1
+    for r in out.collect():
+        x, step = int(r["id"], 16), 1 << r["p"]
+        assert (int(r["after"], 16), int(r["before"], 16)) == ((x + step) % (1 << 160), (x - step) % (1 << 160))
