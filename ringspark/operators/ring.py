@@ -148,8 +148,21 @@ def fingers(nodes: DataFrame, bits: int = ids.BITS, digits: int | None = None) -
 
 
 def distinct_fingers(nodes: DataFrame, bits: int = ids.BITS) -> DataFrame:
-    """id, finger, i: each node's different fingers, none of them itself, with the lowest i."""
-    return fingers(nodes, bits).where("finger <> id").groupBy("id", "finger").agg(F.min("i").alias("i"))
+    """id, finger, i: each node's different fingers, none of them itself, with the lowest i.
+
+    All powers up to the gap to the next node lead to this node; only those above are looked up, about log2 of the number of nodes.
+    """
+    from ringspark.operators.tables import save, spread
+
+    first = ids.BITS - bits
+    ring = neighbours(nodes.select("id").distinct()).where("id <> succ").select("id", "succ", ids.bit_length(ids.subtract("succ", "id")).alias("above"))
+    ring = save(ring, "gaps")
+    next_ = ring.where(F.col("above") > first).select("id", F.col("succ").alias("finger"), F.lit(first).alias("i"))
+    powers = F.explode(F.sequence(F.greatest(F.col("above"), F.lit(first)), F.lit(ids.BITS - 1)))
+    starts = spread(ring.where(F.col("above") < ids.BITS), "id").select("id", powers.alias("i"))
+    starts = save(starts.select("id", "i", ids.add("id", ids.power("i")).alias("start")), "starts")
+    far = owners(starts, ring, "start").where("owner <> id").groupBy("id", F.col("owner").alias("finger")).agg(F.min("i").alias("i"))
+    return next_.union(far)
 
 
 def power_steps(nodes: DataFrame) -> DataFrame:

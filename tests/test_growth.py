@@ -71,3 +71,30 @@ def test_power_steps_are_dealt_before_they_are_multiplied(spark):
     for r in out.collect():
         x, step = int(r["id"], 16), 1 << r["p"]
         assert (int(r["after"], 16), int(r["before"], 16)) == ((x + step) % (1 << 160), (x - step) % (1 << 160))
+
+
+def rows_made(spark, run, most):
+    """The largest number of rows that a table saved during run() has."""
+    seen = []
+    real = tables.save
+
+    def save(df, name):
+        out = real(df, name)
+        seen.append((name, out.count()))
+        return out
+
+    with most.context() as m:
+        m.setattr(tables, "save", save)
+        run()
+    return dict(seen)
+
+
+def test_fingers_are_looked_up_above_the_gap_only(spark, monkeypatch):
+    values = ids_of(64)
+    nodes = spark.createDataFrame([(v,) for v in values], "id string")
+    made = rows_made(spark, lambda: ring.distinct_fingers(nodes).count(), monkeypatch)
+    assert made["starts"] < 12 * 64  # 160 a node before
+    for bits in (160, 3):
+        all_ = ring.fingers(nodes, bits).where("finger <> id").groupBy("id", "finger").agg({"i": "min"}).collect()
+        assert sorted(map(tuple, ring.distinct_fingers(nodes, bits).collect())) == sorted(map(tuple, all_))
+    assert ring.distinct_fingers(nodes.limit(1)).count() == 0
