@@ -262,12 +262,13 @@ def size_estimate(nodes: DataFrame, k: int) -> DataFrame:
     return far.select("id", (F.lit(float(1 << 160)) * F.col("k") / ids.as_double(ids.subtract("last", "id"))).alias("estimate"))
 
 
-def routes(lookups: DataFrame, nodes: DataFrame, mode: str = "fingers", succs: int = 4, stop: Column | None = None, dead: DataFrame | None = None) -> DataFrame:
+def routes(lookups: DataFrame, nodes: DataFrame, mode: str = "fingers", succs: int = 4, stop: Column | None = None, dead: DataFrame | None = None, few: int = 2_000) -> DataFrame:
     """lookups (src, key) with path, owner, hops: each step goes to the furthest known node before the key.
 
     All lookups advance together: a round is one equi-join of the unfinished ones with the table of known nodes, by the
-    node they stand at. `stop`, a condition on columns cur and key, may end a lookup early. Rounds are written to the
-    shared folder, so lineage stays short.
+    node they stand at. As long as these are few (`few`), as after a common start, only their rows of the table are taken and
+    broadcast, so that no node's lookups meet in one task. `stop`, a condition on columns cur and key, may end a lookup early.
+    Rounds are written to the shared folder, so lineage stays short.
 
     dead: nodes (id) that others still know but that don't answer; nodes are the living ones. A lookup then asks the known
     nodes from the furthest on until one answers, and has a column failed: the dead ones it asked, each once, in order of
@@ -278,7 +279,7 @@ def routes(lookups: DataFrame, nodes: DataFrame, mode: str = "fingers", succs: i
     listed = nodes.select("id") if dead is None else nodes.select("id").union(dead.select("id")).distinct()
     table = successors(listed, succs).select("id", "neighbour")
     if mode == "fingers":
-        table = table.union(fingers(listed).where("finger <> id").select("id", "finger"))
+        table = table.union(distinct_fingers(listed).select("id", "finger"))
     none = F.array().cast("array<string>")
     first = neighbours(nodes).select(F.col("id").alias("at"), "succ")
     if dead is None:
@@ -289,10 +290,12 @@ def routes(lookups: DataFrame, nodes: DataFrame, mode: str = "fingers", succs: i
     of = lambda gone: F.collect_set(F.when(F.col("gone") == gone, F.col("neighbour")))
     known = table.groupBy("id").agg(of(False).alias("known"), of(True).alias("lost"))  # at most succs + 161 entries
     step = save(first.join(known, known.id == first.at, "left").select("at", F.coalesce("known", none).alias("known"), F.coalesce("lost", none).alias("lost"), "succ"), "routing")
-    open_ = lookups.select("src", "key", F.col("src").alias("cur"), none.alias("path"), none.alias("failed"))
+    open_ = save(lookups.select("src", "key", F.col("src").alias("cur"), none.alias("path"), none.alias("failed")), "lookups")
     done = []
     while True:
-        here = open_.join(step, F.col("cur") == F.col("at"))
+        at = open_.select(F.col("cur").alias("at")).distinct()
+        table = F.broadcast(step.join(F.broadcast(at), "at", "left_semi")) if at.limit(few + 1).count() <= few else step
+        here = open_.join(table, F.col("cur") == F.col("at"))
         ends = ids.between_right("cur", "succ", "key")
         if stop is not None:
             ends = ends | stop

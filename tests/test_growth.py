@@ -32,18 +32,6 @@ def test_ranks_over_parts(spark):
     assert near == {v: (values[i - 1], values[(i + 1) % 200]) for i, v in enumerate(values)}
 
 
-def test_nearest_places_against_all_pairs(spark):
-    r = random.Random(4)
-    nodes = [(v, r.uniform(0, 50), r.uniform(0, 50), r.choice([0.0, 5.0, 60.0])) for v in ids_of(150)] + [(v, 7.0, 7.0, 1.0) for v in ids_of(80, 3)]
-    got = {}
-    for row in ring.nearest_places(spark.createDataFrame(nodes, "id string, x double, y double, ht double"), 3).collect():
-        got.setdefault(row["id"], []).append((row["distance"], row["other"]))
-    for a in nodes:
-        all_ = sorted((round(((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5 + a[3] + b[3], 4), b[0]) for b in nodes if b[0] != a[0])
-        assert [x for x, _ in sorted(got[a[0]])] == [x for x, _ in all_[:3]]
-    assert ring.nearest_places(spark.createDataFrame([], "id string, x double, y double, ht double"), 3).count() == 0
-
-
 def test_nearest_in_range_pairs_no_range_with_all_nodes(spark):
     values = ids_of(120)
     ranges = [(values[3], values[40]), (values[100], values[2]), (ids_of(1, 9)[0], ids_of(1, 9)[0]), (values[7], values[7]), (values[9], values[9][:39] + "0"), ("f" * 40, values[4])]
@@ -56,21 +44,16 @@ def test_nearest_in_range_pairs_no_range_with_all_nodes(spark):
         assert [got.get((src, i + 1)) for i in range(5)] == (inside[:5] + [None] * 5)[:5]
 
 
-def test_place_to_node_multiplies_pixels_not_nodes(spark):
-    from ringspark.plans import catalog
-
-    p = plan(catalog.queries()["place_to_node"](spark, "/root/testdata/sf0.001"))
-    below = p[p.index("Join Cross" if "Join Cross" in p else "Join Inner"):]
-    assert "Aggregate [x" in below
-
-
-def test_power_steps_are_dealt_before_they_are_multiplied(spark):
-    nodes = spark.createDataFrame([(v,) for v in ["0" * 40, "f" * 40, *ids_of(5)]], "id string").coalesce(1)
-    out = ring.power_steps(nodes)
-    assert out.rdd.getNumPartitions() > 1
-    for r in out.collect():
-        x, step = int(r["id"], 16), 1 << r["p"]
-        assert (int(r["after"], 16), int(r["before"], 16)) == ((x + step) % (1 << 160), (x - step) % (1 << 160))
+def test_nearest_places_against_all_pairs(spark):
+    r = random.Random(4)
+    nodes = [(v, r.uniform(0, 50), r.uniform(0, 50), r.choice([0.0, 5.0, 60.0])) for v in ids_of(150)] + [(v, 7.0, 7.0, 1.0) for v in ids_of(80, 3)]
+    got = {}
+    for row in ring.nearest_places(spark.createDataFrame(nodes, "id string, x double, y double, ht double"), 3).collect():
+        got.setdefault(row["id"], []).append((row["distance"], row["other"]))
+    for a in nodes:
+        all_ = sorted((round(((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5 + a[3] + b[3], 4), b[0]) for b in nodes if b[0] != a[0])
+        assert [x for x, _ in sorted(got[a[0]])] == [x for x, _ in all_[:3]]
+    assert ring.nearest_places(spark.createDataFrame([], "id string, x double, y double, ht double"), 3).count() == 0
 
 
 def rows_made(spark, run, most):
@@ -98,3 +81,28 @@ def test_fingers_are_looked_up_above_the_gap_only(spark, monkeypatch):
         all_ = ring.fingers(nodes, bits).where("finger <> id").groupBy("id", "finger").agg({"i": "min"}).collect()
         assert sorted(map(tuple, ring.distinct_fingers(nodes, bits).collect())) == sorted(map(tuple, all_))
     assert ring.distinct_fingers(nodes.limit(1)).count() == 0
+
+
+def test_power_steps_are_dealt_before_they_are_multiplied(spark):
+    nodes = spark.createDataFrame([(v,) for v in ["0" * 40, "f" * 40, *ids_of(5)]], "id string").coalesce(1)
+    out = ring.power_steps(nodes)
+    assert out.rdd.getNumPartitions() > 1
+    for r in out.collect():
+        x, step = int(r["id"], 16), 1 << r["p"]
+        assert (int(r["after"], 16), int(r["before"], 16)) == ((x + step) % (1 << 160), (x - step) % (1 << 160))
+
+
+def test_common_start_of_routes_is_broadcast(spark):
+    values = ids_of(50)
+    nodes = spark.createDataFrame([(v,) for v in values], "id string")
+    looked = spark.createDataFrame([(values[0], k) for k in ids_of(80, 5)], "src string, key string")
+    out = [sorted(map(tuple, ring.routes(looked, nodes, few=few).selectExpr("src", "key", "concat_ws(',', path)", "owner", "hops").collect())) for few in (2_000, 0)]
+    assert out[0] == out[1] and len(out[0]) == 80
+
+
+def test_place_to_node_multiplies_pixels_not_nodes(spark):
+    from ringspark.plans import catalog
+
+    p = plan(catalog.queries()["place_to_node"](spark, "/root/testdata/sf0.001"))
+    below = p[p.index("Join Cross" if "Join Cross" in p else "Join Inner"):]
+    assert "Aggregate [x" in below
