@@ -18,51 +18,73 @@ FULL = 64
 DEPTH = 27
 
 
-def shape(keys: DataFrame, by: list[str] | None = None, depth: int = DEPTH) -> DataFrame:
-    """by..., depth, prefix, n, is_leaf: the nodes that hold keys (column id, distinct within `by`).
+def stored(keys: DataFrame, by: list[str]) -> DataFrame:
+    """The distinct keys (by..., bin: the id's 20 bytes, half of its digits), written once for all levels."""
+    return save(keys.select(*by, F.unhex("id").alias("bin")).distinct(), "keys")
 
-    Each level aggregates only the keys that are still under a full node.
-    """
-    by = by or []
-    rest = save(keys.select(*by, "id").distinct(), "keys")
+
+def _slots(d: int):
+    """ids.slots of a stored key; two slots are three digits."""
+    return ids.slots(F.hex(F.substring(F.col("bin"), 1, min(20, (3 * ((d + 1) // 2) + 1) // 2))), d)
+
+
+def _shape(rest: DataFrame, by: list[str], depth: int) -> list[DataFrame]:
+    """The levels of a tree over stored keys."""
     out = rest.groupBy(*by).agg(F.count("*").alias("n")).select(*by, F.lit(0).alias("depth"), F.lit("").alias("prefix"), "n", (F.col("n") <= FULL).alias("is_leaf"))
     levels = [save(out, "level")]
     for d in range(1, depth + 1):
         full = levels[-1].where("not is_leaf").select(*by, F.col("prefix").alias("up"))
         if full.isEmpty():
             break
-        under = rest.withColumn("up", ids.slots("id", d - 1)).join(full, [*by, "up"], "left_semi")
-        found = under.groupBy(*by, ids.slots("id", d).alias("prefix")).agg(F.count("*").alias("n"))
+        under = rest.withColumn("up", _slots(d - 1)).join(full, [*by, "up"], "left_semi")
+        found = under.groupBy(*by, _slots(d).alias("prefix")).agg(F.count("*").alias("n"))
         levels.append(save(found.select(*by, F.lit(d).alias("depth"), "prefix", "n", (F.col("n") <= FULL).alias("is_leaf")), "level"))
-    return reduce(DataFrame.union, levels)
+    return levels
+
+
+def shape(keys: DataFrame, by: list[str] | None = None, depth: int = DEPTH) -> DataFrame:
+    """by..., depth, prefix, n, is_leaf: the nodes that hold keys (column id, distinct within `by`).
+
+    Each level aggregates only the keys that are still under a full node.
+    """
+    by = by or []
+    return reduce(DataFrame.union, _shape(stored(keys, by), by, depth))
 
 
 def hashes(keys: DataFrame, by: list[str] | None = None) -> DataFrame:
     """shape with hash: of a leaf over its keys' bytes, each key's reversed, in order; of an inner node over its 64 children's.
 
-    A child without keys counts as 20 zero bytes. Children are at most 64 a group, keys of a leaf too.
+    A child without keys counts as 20 zero bytes. Children are at most 64 a group, keys of a leaf too. The keys are dealt
+    twice in all: when they are made distinct, and by leaf. Which leaf a key is in follows from the full nodes, which are few
+    against the keys.
     """
     by = by or []
-    nodes = save(shape(keys, by), "shape")
-    deepest = nodes.agg(F.max("depth")).first()[0]
-    if deepest is None:
-        return nodes.withColumn("hash", F.lit(None).cast("string"))
-    leaves = nodes.where("is_leaf")
-    ordered = lambda a: F.array_join(F.transform(F.sort_array(a), lambda x: x["h"]), "")
-    own = save(keys.select(*by, "id").distinct(), "own")
-    at = sorted(r[0] for r in leaves.select("depth").distinct().collect())  # 28 depths at most
-    placed = [own.withColumn("prefix", ids.slots("id", d)).join(leaves.where(F.col("depth") == d), [*by, "prefix"]) for d in at]
-    item = F.struct("id", F.concat(*(F.substring("id", 39 - 2 * i, 2) for i in range(20))).alias("h"))
-    at_leaf = reduce(DataFrame.union, [p.select(*by, "depth", "prefix", item.alias("item")) for p in placed])
-    done = save(at_leaf.groupBy(*by, "depth", "prefix").agg(F.sha1(F.unhex(ordered(F.collect_list("item")))).alias("hash")), "leaf-hashes")
-    inner = nodes.where("not is_leaf").select(*by, "depth", "prefix")
-    for d in range(deepest - 1, -1, -1):
-        child = done.where(F.col("depth") == d + 1).select(*by, F.substring("prefix", 1, 2 * d).alias("prefix"), F.substring("prefix", 2 * d + 1, 2).cast("int").alias("slot"), "hash")
+    own = stored(keys, by)
+    levels = _shape(own, by, DEPTH)
+    done = []
+    for d, level in enumerate(levels):
+        flags = level.agg(F.count_if("is_leaf"), F.count_if(~F.col("is_leaf"))).first()
+        if not flags[0]:
+            continue
+        at = own.withColumn("prefix", _slots(d))
+        if d:
+            full = levels[d - 1].where("not is_leaf").select(*by, F.col("prefix").alias("up"))
+            at = at.withColumn("up", _slots(d - 1)).join(full, [*by, "up"], "left_semi").drop("up")
+        if flags[1]:
+            at = at.join(level.where("not is_leaf").select(*by, "prefix"), [*by, "prefix"], "left_anti")
+        listed = at.repartition(*by, "prefix").groupBy(*by, "prefix").agg(F.sort_array(F.collect_list("bin"), False).alias("l"))
+        # each key reversed, in order, is the whole reversed of the keys from the last to the first; a character is a byte here
+        whole = F.decode(F.unhex(F.array_join(F.transform("l", lambda x: F.hex(x)), "")), "ISO-8859-1")
+        done.append((d, save(listed.select(*by, "prefix", F.sha1(F.encode(F.reverse(whole), "ISO-8859-1")).alias("hash")), "leaf-hashes")))
+    done = dict(done)
+    for d in range(len(levels) - 2, -1, -1):
+        child = done[d + 1].select(*by, F.substring("prefix", 1, 2 * d).alias("prefix"), F.substring("prefix", 2 * d + 1, 2).cast("int").alias("slot"), "hash")
         have = child.groupBy(*by, "prefix").agg(F.map_from_entries(F.collect_list(F.struct("slot", "hash"))).alias("m"))
         all_ = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(ids.ZERO))), "")
-        up = inner.where(F.col("depth") == d).join(have, [*by, "prefix"]).select(*by, "depth", "prefix", F.sha1(F.unhex(all_)).alias("hash"))
-        done = save(done.union(up), "hashes")
-    return nodes.join(done, [*by, "depth", "prefix"])
+        up = save(have.select(*by, "prefix", F.sha1(F.unhex(all_)).alias("hash")), "hashes")  # whatever has children is a full node
+        done[d] = done[d].union(up) if d in done else up
+    with_hash = [level.join(done[d], [*by, "prefix"]).select(*by, "depth", "prefix", "n", "is_leaf", "hash") for d, level in enumerate(levels) if d in done]
+    return reduce(DataFrame.union, with_hash) if with_hash else levels[0].withColumn("hash", F.lit(None).cast("string"))
 
 
 def statistics(keys: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """What keeps queries in proportion to their input: frames, buckets and row counts, each with right results."""
 
+import hashlib
 import random
 
-from ringspark.operators import repair, ring, tables, views
+from ringspark.operators import merkle, repair, ring, tables, views
 
 
 def plan(df):
@@ -106,3 +107,23 @@ def test_place_to_node_multiplies_pixels_not_nodes(spark):
     p = plan(catalog.queries()["place_to_node"](spark, "/root/testdata/sf0.001"))
     below = p[p.index("Join Cross" if "Join Cross" in p else "Join Inner"):]
     assert "Aggregate [x" in below
+
+
+def test_trees_write_keys_once_as_bytes(spark, monkeypatch):
+    saved = []
+    real = merkle.save
+    monkeypatch.setattr(merkle, "save", lambda df, name: saved.append((name, df.columns)) or real(df, name))
+    keys = ids_of(300) + [f"{'07' * 10}{x[:20]}" for x in ids_of(150, 2)]  # one branch is deep
+    df = spark.createDataFrame([(k,) for k in keys], "id string")
+    root = {(r["depth"], r["prefix"]): r["hash"] for r in merkle.hashes(df).collect()}[0, ""]
+    assert [n for n, c in saved if "id" in c or "bin" in c] == ["keys"]
+
+    def tree(own, d):
+        if len(own) <= 64:
+            return hashlib.sha1(b"".join(bytes.fromhex(k)[::-1] for k in sorted(own))).digest() if own else bytes(20)
+        under = [[] for _ in range(64)]
+        for k in own:
+            under[int(k, 16) >> (154 - 6 * d) & 63].append(k)
+        return hashlib.sha1(b"".join(tree(u, d + 1) for u in under)).digest()
+
+    assert root == tree(keys, 0).hex()
