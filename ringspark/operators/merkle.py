@@ -132,17 +132,21 @@ def pruned_difference(left: DataFrame, right: DataFrame, step: int = 2) -> DataF
     A digest is a count and a sum of key hashes for each prefix, made of partial sums, so only summaries (one row a prefix)
     are shuffled. As long as a differing prefix holds more keys than a few full nodes, the tree is gone down `step` levels more
     under the differing ones, and at last only keys under these are shuffled whole. Keys that repeat on one side may
-    cost a comparison, but are no difference.
+    cost a comparison, but are no difference. Both sides are made and written once, as the 20 bytes of each key.
     """
-    digest = lambda t, d: t.groupBy(ids.slots("id", d).alias("prefix")).agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s"))
-    a, b, depth = left.select("id"), right.select("id"), step
+    h = F.xxhash64("bin")
+    halves = [F.sum(h.bitwiseAND(F.lit((1 << 32) - 1))).alias("s"), F.sum(F.shiftright(h, 32)).alias("t")]
+    digest = lambda t, d: t.groupBy(_slots(d).alias("prefix")).agg(F.count("*").alias("n"), *halves)
+    a, b = (save(t.select(F.unhex("id").alias("bin")), "side") for t in (left, right))
+    depth = step
     while True:
-        both = digest(a, depth).withColumnsRenamed({"n": "n1", "s": "s1"}).join(digest(b, depth), "prefix", "full_outer").where("not (n1 <=> n and s1 <=> s)")
+        both = digest(a, depth).withColumnsRenamed({"n": "n1", "s": "s1", "t": "t1"}).join(digest(b, depth), "prefix", "full_outer").where("not (n1 <=> n and s1 <=> s and t1 <=> t)")
         differ = save(both.select("prefix", F.greatest("n1", "n").alias("n")), "differing")
-        under = lambda t: t.withColumn("prefix", ids.slots("id", depth)).join(differ.select("prefix"), "prefix", "left_semi").select("id")  # noqa: E731, B023
+        under = lambda t: t.withColumn("prefix", _slots(depth)).join(differ.select("prefix"), "prefix", "left_semi").select("bin")  # noqa: E731, B023
         a, b = under(a), under(b)
         if depth + step >= DEPTH or differ.where(F.col("n") > 16 * FULL).isEmpty():
-            return difference(a, b)
+            found = difference(*(t.select(F.col("bin").alias("id")) for t in (a, b)))
+            return found.select(F.lower(F.hex("id")).alias("id"), "missing")
         depth += step
 
 

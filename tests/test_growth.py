@@ -127,3 +127,14 @@ def test_trees_write_keys_once_as_bytes(spark, monkeypatch):
         return hashlib.sha1(b"".join(tree(u, d + 1) for u in under)).digest()
 
     assert root == tree(keys, 0).hex()
+
+
+def test_pruned_difference_makes_each_side_once(spark, monkeypatch):
+    saved = []
+    real = merkle.save
+    monkeypatch.setattr(merkle, "save", lambda df, name: saved.append(name) or real(df, name))
+    keys = ids_of(400)
+    df = spark.createDataFrame([(k,) for k in keys], "id string")
+    got = {tuple(r) for r in merkle.pruned_difference(df.where(~df.id.isin(keys[:2])), df.where(df.id != keys[9])).collect()}
+    assert got == {(keys[0], "left"), (keys[1], "left"), (keys[9], "right")}
+    assert saved.count("side") == 2
