@@ -2,7 +2,7 @@
 
 A key belongs to the first living node at or after it. Each node thus has the interval (predecessor, id]. Intervals are
 cut at the borders of `digits` leading hexadecimal digits, so that a key finds its interval by an equi-join on its leading
-digits and a comparison; nothing is sorted or windowed but the nodes, which are few against the keys. The interval table
+digits and a comparison; nothing is sorted or windowed but the nodes, by part. The interval table
 has one row a node and one a leading-digit value; Spark broadcasts it if it is small and shuffles by the digits if not.
 """
 
